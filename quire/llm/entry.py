@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op9_matroska_media
 from .sharding import op3_lpt_sharding
+from .simhash import op7_simhash_pigeonring
 from .token_counts import op5_resync_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op3_lpt_sharding,
         op5_resync_token_counts,
+        op7_simhash_pigeonring,
         op9_matroska_media,
     )
 }
