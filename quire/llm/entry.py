@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op9_matroska_media
+from .pii import op10_boosted_pii
 from .sharding import op3_lpt_sharding
 from .simhash import op7_simhash_pigeonring
 from .token_counts import op5_resync_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_resync_token_counts,
         op7_simhash_pigeonring,
         op9_matroska_media,
+        op10_boosted_pii,
     )
 }
 
