@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op6_latent_decontamination
 from .media import op9_matroska_media
+from .packing import op2_bm25_packing
 from .pii import op10_boosted_pii
+from .quality import op4_ordinal_quality
 from .sharding import op3_lpt_sharding
 from .simhash import op7_simhash_pigeonring
 from .token_counts import op5_resync_token_counts
@@ -15,8 +18,11 @@ from .token_counts import op5_resync_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_bm25_packing,
         op3_lpt_sharding,
+        op4_ordinal_quality,
         op5_resync_token_counts,
+        op6_latent_decontamination,
         op7_simhash_pigeonring,
         op9_matroska_media,
         op10_boosted_pii,
