@@ -5,9 +5,10 @@
    A'(A G), the parts are summed by term, and the driver (terms x RANK numbers, terms bounded by the block of
    benchmark items) orthonormalises and repeats. It is fitted on the items' passages and on those of a bounded sample of
    about ``FIT_DOCS`` documents.
-3. Every document is searched whole, in windows of ``WINDOW`` words, ``STRIDE`` apart. A window that holds too few
-   of the benchmark's words for any item to reach ``loose`` is left out (a bound, not a guess); the others are
-   projected, and items' passages with a cosine of ``COSINE`` or more are candidates.
+3. Every document is searched whole, in windows of ``WINDOW`` words, ``STRIDE`` apart, against each item's weightier
+   passages. Two bounds leave windows out before they are projected: one that holds too few of the benchmark's words for any
+   item to reach ``loose``, and one whose words weigh too little for a cosine of ``COSINE`` with any passage. The others are
+   projected; passages with that cosine or more are candidates.
 4. The longest common subsequence of an item's words and the stretch where it would lie decides: ``strict`` of the item's words,
    or ``loose`` of them if the answer, the item's last words, is there as well.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_stage, table
 
-RANK, ROUNDS, FIT_DOCS = 32, 2, 4096
-WINDOW, STRIDE, COSINE = 12, 4, 0.6
+RANK, ROUNDS, FIT_DOCS = 192, 2, 1024
+WINDOW, STRIDE, COSINE = 12, 4, 0.65
 BLOCK, SHORTEST, ANSWER = 2048, 8, 5
 WORD = re.compile(r"\w+")
 
@@ -150,7 +151,7 @@ def latent(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: in
                         total += product(gathered(t, starts), g)
             yield pa.record_batch([pa.array(np.repeat(np.arange(terms), g.shape[1])), pa.array(np.tile(np.arange(g.shape[1]), terms)), pa.array(total.ravel())], ["term", "dim", "x"])
 
-        got = arrow_stage(some.coalesce(8), each, "term long, dim long, x double").groupBy("term", "dim").agg(F.sum("x").alias("x")).toArrow()
+        got = arrow_stage(some.coalesce(3), each, "term long, dim long, x double").groupBy("term", "dim").agg(F.sum("x").alias("x")).toArrow()
         basis = product(own, g)
         np.add.at(basis, (got["term"].to_numpy(), got["dim"].to_numpy()), got["x"].to_numpy())
     basis, _ = np.linalg.qr(basis)
@@ -166,31 +167,52 @@ def judge(item: list[str], words: list[str], at: int, offset: int) -> tuple[floa
     return lcs(item, part) / len(item), lcs(answer, part[-(ANSWER + 2 * slack + STRIDE) :]) / len(answer), low, high
 
 
-def search(docs: DataFrame, items: Items, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
-    passages = project(items.matrix(), basis)
-    shared = docs.sparkSession.sparkContext.broadcast((items, basis, passages))  # BLOCK items at most
+def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
+    weight = np.append(idf**2, 0.0)
+    norms = np.sqrt(weight[items.matrix()].sum(axis=1))
+    owner = np.array([k for k, _ in items.passages])
+    heaviest = np.zeros(len(items.words))
+    np.maximum.at(heaviest, owner, norms)
+    used = norms >= 0.8 * heaviest[owner]
+    passages = project(items.matrix()[used], basis)
+    places = [p for p, u in zip(items.passages, used) if u]
+    floor = (COSINE * norms[used].min()) ** 2
+    shared = docs.sparkSession.sparkContext.broadcast((items, basis, passages, places, weight, floor))  # BLOCK items at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, basis, passages = shared.value
+        items, basis, passages, places, weight, floor = shared.value
+        owner, offset = np.array(places).T
+        lengths = np.array([len(w) for w in items.words])
+        member = np.zeros((len(items.words), len(items.vocab) + 1), dtype=bool)  # the last column: no term
+        for k, w in enumerate(items.words):
+            member[k, [items.vocab[x] for x in w]] = True
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 terms = numbered(words, items.vocab)
                 starts = windows(terms, loose)
+                weights = np.concatenate(([0.0], np.cumsum(weight[terms])))
+                starts = starts[weights[np.minimum(starts + WINDOW, len(terms))] - weights[starts] >= floor]
                 best: dict[int, tuple] = {}
-                for k in range(0, len(starts), 1024):
-                    part = starts[k : k + 1024]
-                    near = project(gathered(terms, part), basis) @ passages.T
-                    tried: dict[tuple, float] = {}
-                    for r, c in zip(*np.nonzero(near >= COSINE)):
-                        item, offset = items.passages[c]
-                        place = (item, (int(part[r]) - offset) // STRIDE)
-                        tried[place] = max(tried.get(place, 0.0), float(near[r, c]))
-                    for (item, place), cosine in tried.items():
-                        share, answer, low, high = judge(items.words[item], words, place * STRIDE + STRIDE // 2, 0)
+                for k in range(0, len(starts), 2048):
+                    part = gathered(terms, starts[k : k + 2048])
+                    near = project(part, basis) @ passages.T
+                    r, c = np.nonzero(near >= COSINE)
+                    # an item that reaches ``loose`` has that share of its words in some window
+                    held = member[owner[c][:, None], part[r]].sum(axis=1) >= loose * np.minimum(WINDOW, lengths[owner[c]])
+                    r, c = r[held], c[held]
+                    place = (starts[k + r] - offset[c]) // STRIDE
+                    order = np.lexsort((-near[r, c], place, owner[c]))
+                    seen = None
+                    for i in order.tolist():
+                        item, at = int(owner[c[i]]), int(place[i])
+                        if seen == (item, at):
+                            continue
+                        seen = (item, at)
+                        share, answer, low, high = judge(items.words[item], words, at * STRIDE + STRIDE // 2, 0)
                         if share >= strict or share >= loose and answer >= 0.8:
-                            best[item] = max(best.get(item, (0.0,)), (share, answer, cosine, low, high))
+                            best[item] = max(best.get(item, (0.0,)), (share, answer, float(near[r[i], c[i]]), low, high))
                 out += [(doc, items.ids[i], *v) for i, v in sorted(best.items())]
             if out:
                 doc, item, share, answer, cosine, low, high = zip(*out)
@@ -211,7 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, strict: float = 0.8, loose: flo
         if items.passages:
             df, n = frequencies(rows, items.vocab)
             idf = np.log1p(max(1, n) / (df + 1.0))
-            found = search(rows, items, latent(rows, items, idf, n), strict, loose)
+            found = search(rows, items, idf, latent(rows, items, idf, n), strict, loose)
             out = found if out is None else out.union(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long")
