@@ -115,10 +115,14 @@ def html_blocks(pages: DataFrame, drop_tags: set[str] = APPARATUS, drop_classes:
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An append-only log of JSON lines. A torn last line is dropped; a torn line elsewhere is an error."""
-    raw = spark.read.schema(f"{schema}, _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
-    ordered = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-    last = ordered.groupBy("_file").agg(F.max("_at").alias("_last"))
-    joined = ordered.join(last, "_file")
-    bad = joined.where("_torn IS NOT NULL AND _at < _last").select(F.count("*").alias("_bad"))
-    checked = joined.where("_torn IS NULL").crossJoin(F.broadcast(bad)).withColumn("_ok", F.assert_true(F.col("_bad") == 0, F.lit("a line in the middle of the log is torn")))
-    return checked.where("_ok IS NULL").drop("_torn", "_file", "_at", "_last", "_bad", "_ok")
+    raw = spark.read.text(path).where("value <> ''")
+    parsed = raw.select(
+        F.from_json("value", f"{schema}, _torn string", {"columnNameOfCorruptRecord": "_torn"}).alias("r"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("_at"),
+    )
+    last = parsed.groupBy("_file").agg(F.max("_at").alias("_last"))
+    # the condition names both sides of the join, so it is tested after it
+    torn = F.col("r._torn").isNotNull()
+    whole = F.when(torn & (F.col("_at") < F.col("_last")), F.raise_error(F.lit("a line in the middle of the log is torn")).cast("boolean")).otherwise(~torn)
+    return parsed.join(last, "_file").where(whole).select("r.*").drop("_torn")
