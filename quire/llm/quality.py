@@ -31,6 +31,8 @@ from .common import arrow_stage, free_name, table
 WIDTH = 1 << 18
 MIN_DOCS = 4
 CACHED = 300_000
+#: The number of rows for which the lasso penalty is given.
+PENALTY_ROWS = 20_000
 UPPER, LOWER, DIGITS = re.compile(r"[^\W\d_a-zß-ÿ]{2,}"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 PLAIN = {"a", "a.", "a,", ""}
 
@@ -99,6 +101,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int = 3
     of all rows, one row after another; ``sizes``: how many each row has."""
     if len(set(grades.tolist())) < 2:
         raise ValueError("labels of at least two grades are needed")
+    lasso *= np.sqrt(PENALTY_ROWS / len(sizes))  # fewer rows leave more to chance
     owner = np.repeat(np.arange(len(sizes)), sizes)
     seen = np.bincount(flat, minlength=WIDTH) >= MIN_DOCS
     used = seen[flat]
