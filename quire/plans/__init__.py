@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills quire.registry."""
 
-from . import evaluation, fusion, pages, sequences, typesetting  # noqa: F401
+from . import decisions, evaluation, fusion, pages, sequences, typesetting  # noqa: F401

@@ -157,4 +157,4 @@ def odd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = flat.groupBy("label", "dim").agg(F.avg("x").alias("m"))
     d = flat.join(mean, ["label", "dim"]).groupBy("vec_id", "label").agg(F.sqrt(F.sum((F.col("x") - F.col("m")) ** 2)).alias("d"))
     mid = d.groupBy("label").agg(F.median("d").alias("mid"))
-    return d.join(mid, "label").where("d > 1.5 * mid").select("vec_id", "label", "d")
+    return d.join(mid, "label").where("d > 1.1 * mid").select("vec_id", "label", "d")
