@@ -151,10 +151,10 @@ def arbiter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def odd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors far from the mean of their label: outliers among pictures that should be alike."""
+    """Vectors further from the mean of their label than two deviations of that distance: pictures unlike their kind."""
     v = table(spark, sf_dir, "embeddings")
     flat = v.select("vec_id", "label", F.posexplode("embedding").alias("dim", "x"))
     mean = flat.groupBy("label", "dim").agg(F.avg("x").alias("m"))
     d = flat.join(mean, ["label", "dim"]).groupBy("vec_id", "label").agg(F.sqrt(F.sum((F.col("x") - F.col("m")) ** 2)).alias("d"))
-    mid = d.groupBy("label").agg(F.median("d").alias("mid"))
-    return d.join(mid, "label").where("d > 1.1 * mid").select("vec_id", "label", "d")
+    usual = d.groupBy("label").agg(F.avg("d").alias("mean"), F.stddev("d").alias("spread"))
+    return d.join(usual, "label").where("d > mean + 2 * spread").select("vec_id", "label", "d")
