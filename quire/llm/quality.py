@@ -33,6 +33,7 @@ MIN_DOCS = 4
 CACHED = 300_000
 #: The number of rows for which the lasso penalty is given.
 PENALTY_ROWS = 20_000
+PART = 2_000
 UPPER, LOWER, DIGITS = re.compile(r"[^\W\d_a-zß-ÿ]{2,}"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 PLAIN = {"a", "a.", "a,", ""}
 
@@ -102,18 +103,24 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int = 3
     if len(set(grades.tolist())) < 2:
         raise ValueError("labels of at least two grades are needed")
     lasso *= np.sqrt(PENALTY_ROWS / len(sizes))  # fewer rows leave more to chance
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    seen = np.bincount(flat, minlength=WIDTH) >= MIN_DOCS
-    used = seen[flat]
-    flat, owner = flat[used], owner[used]
-    names, flat = np.unique(flat, return_inverse=True)
+    used = np.bincount(flat, minlength=WIDTH) >= MIN_DOCS
+    names, place = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
+    # rows in parts, so what a step works on stays small beside the features themselves
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    parts = []
+    for r in range(0, len(sizes), PART):
+        own = flat[edges[r] : edges[min(r + PART, len(sizes))]]
+        owner = np.repeat(np.arange(min(PART, len(sizes) - r), dtype=np.int32), sizes[r : r + PART])
+        kept = used[own]
+        parts.append((r, place[own[kept]], owner[kept]))
+    del flat
     w, free = np.zeros(len(names)), np.zeros(levels - 1)
     free[0] = -1.0
     state = [np.zeros(len(w) + len(free)), np.zeros(len(w) + len(free))]
     n = len(sizes)
     for t in range(1, rounds + 1):
         cuts = np.concatenate((free[:1], free[:1] + np.cumsum(np.exp(free[1:]))))
-        score = np.bincount(owner, w[flat], n)
+        score = np.concatenate([np.bincount(owner, w[own], min(PART, n - r)) for r, own, owner in parts])
         edge = np.concatenate((np.full((n, 1), 0.0), sigmoid(cuts[None, :] - score[:, None]), np.full((n, 1), 1.0)), axis=1)
         slope = edge * (1 - edge)
         p = np.maximum(edge[np.arange(n), grades + 1] - edge[np.arange(n), grades], 1e-9)
@@ -121,7 +128,8 @@ def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int = 3
         by_score = (up - down) / n  # of the loss: each threshold's term has the opposite sign
         by_cut = np.array([(np.where(grades == k, -up, 0) + np.where(grades == k + 1, down, 0)).sum() / n for k in range(levels - 1)])
         by_free = np.concatenate(([by_cut.sum()], [by_cut[k:].sum() * np.exp(free[k]) for k in range(1, levels - 1)]))
-        grad = np.concatenate((np.bincount(flat, by_score[owner], len(w)) + lasso * np.sign(w), by_free))
+        by_weight = sum(np.bincount(own, by_score[r : r + PART][owner], len(w)) for r, own, owner in parts)
+        grad = np.concatenate((by_weight + lasso * np.sign(w), by_free))
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         move = step * state[0] / (1 - 0.9**t) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
@@ -155,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Mod
     rows = labelled_rows(docs, labels, max_labelled).select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
     got = arrow_stage(rows, each, "doc_id long, features array<int>, grade int").toArrow().sort_by("doc_id")
     lists = got["features"].combine_chunks()
-    return fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), got["grade"].to_numpy().astype(np.int64))
+    sizes, grades = lists.value_lengths().to_numpy().astype(np.int64), got["grade"].to_numpy().astype(np.int64)
+    del got
+    return fit(lists.flatten().to_numpy(), sizes, grades)
 
 
 def grade(docs: DataFrame, model: Model, keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
