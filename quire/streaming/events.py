@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_dir
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A file or folder of Parquet as a stream; the schema is that of the files there."""
@@ -24,10 +26,15 @@ def latest_stream(spark: SparkSession, path: str) -> DataFrame:
     return stream(spark, path).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
-def settle(streamed: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there now, and give its result as a table. Results here are aggregates; a
-    stream that never ends would write to a table with ``foreachBatch`` instead."""
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    query = streamed.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def settle(streamed: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and give its result as a table. Each batch replaces the table in the shared folder,
+    where the query's own checkpoint is too, so results of any size stay off the driver and a restart goes on where it was."""
+    spark = streamed.sparkSession
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/result")
+
+    query = streamed.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return streamed.sparkSession.table(name)
+    return spark.read.schema(streamed.schema).parquet(f"{place}/result")
