@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words over the whole corpus give the TF-IDF weights.
+1. One pass over the texts writes them as numbers of the benchmark's words, for the documents that hold enough of these
+   somewhere, and counts the words' document frequencies over the whole corpus, which give the TF-IDF weights.
 2. A randomised SVD of TF-IDF passages finds ``RANK`` latent directions: each task adds up its passages' part of
    A'(A G), the parts are summed by term, and the driver (terms x RANK numbers, terms bounded by the block of
    benchmark items) orthonormalises and repeats. It is fitted on the items' passages and on those of a bounded sample of
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, table
+from .common import arrow_stage, cut, drop_cut, table
 
-RANK, ROUNDS, FIT_DOCS = 192, 2, 1024
+RANK, ROUNDS, FIT_DOCS, FIT_SHARE = 192, 2, 1024, 0.5
 WINDOW, STRIDE, COSINE = 12, 4, 0.65
 BLOCK, SHORTEST, ANSWER = 2048, 8, 5
 WORD = re.compile(r"\w+")
@@ -102,34 +103,61 @@ def project(matrix: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def frequencies(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each word of the vocabulary is, and the number of documents."""
+def numbered_docs(docs: DataFrame, vocab: dict[str, int], least: float) -> DataFrame:
+    """One pass over the texts, written: (doc_id, terms, seen). ``terms`` are a document's words as numbers of the
+    vocabulary, for the documents with a window that holds enough of them; one row of each task has ``seen`` instead: its
+    number of documents, then in how many of them each word is."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # BLOCK items at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(len(vocab), np.int64), 0
-        get = vocab.get
+        vocab = shared.value
+        seen, n = np.zeros(len(vocab) + 1, np.int64), 0
+        held = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("seen", pa.list_(pa.int64()))])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = [k for k in map(get, set(words_of(text))) if k is not None]
-                seen[found] += 1
+            ids, kept = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = numbered(words_of(text.as_py()), vocab)
+                has = np.zeros(len(vocab) + 1, bool)  # the last: no term
+                has[t] = True
+                seen += has
+                if len(windows(t, least)):
+                    ids.append(doc)
+                    kept.append(t)
             n += batch.num_rows
-        yield pa.record_batch([pa.array(range(-1, len(vocab)), pa.int64()), pa.array([n, *seen.tolist()], pa.int64())], ["term", "n"])
+            if ids:
+                ends = np.cumsum([0, *map(len, kept)])
+                terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept).astype(np.int32)))
+                yield pa.record_batch([pa.array(ids, pa.int64()), terms, pa.nulls(len(ids), held.field(2).type)], schema=held)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, held.field(1).type), pa.array([[n, *seen[:-1].tolist()]], held.field(2).type)], schema=held)
+
+    return cut(arrow_stage(docs, each, "doc_id long, terms array<int>, seen array<long>", rows=256), "terms")
+
 
-    got = arrow_stage(docs.select("text"), each, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def frequencies(held: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many documents each word of the vocabulary is, and the number of documents."""
+    got = held.where("seen IS NOT NULL").select(F.posexplode("seen").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocab) + 1, np.int64)
-    out[got["term"].to_numpy() + 1] = got["n"].to_numpy()
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out[1:], int(out[0])
 
 
-def latent(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: int = RANK) -> np.ndarray:
+def term_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of lists."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def latent(held: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: int = RANK) -> np.ndarray:
     """The right singular vectors, weighted: terms + 1 rows (the last is zero) of ``rank`` numbers."""
     rng = np.random.default_rng(5)
     terms = len(items.vocab)
     rank = min(rank, terms)
     basis = rng.standard_normal((terms, rank))
-    own, vocab = items.matrix(), items.vocab
+    own = items.matrix()
     weights = np.append(idf, 0.0)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // FIT_DOCS))) == 0).select("text")  # of the fit alone
+    # of the fit alone: found by as many tasks as the table has, written, and from then on a table of a bounded size
+    some = cut(held.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // FIT_DOCS))) == 0).select("terms"), "fit")
 
     def product(matrix: np.ndarray, g: np.ndarray) -> np.ndarray:
         y = (np.append(g, np.zeros((1, g.shape[1])), axis=0) * weights[:, None])[matrix].sum(axis=1)
@@ -144,9 +172,8 @@ def latent(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: in
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((terms, g.shape[1]))
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    t = numbered(words_of(text), vocab)
-                    starts = windows(t, 0.5)[::4]
+                for t in term_arrays(batch.column(0)):
+                    starts = windows(t, FIT_SHARE)[::4]
                     if len(starts):
                         total += product(gathered(t, starts), g)
             yield pa.record_batch([pa.array(np.repeat(np.arange(terms), g.shape[1])), pa.array(np.tile(np.arange(g.shape[1]), terms)), pa.array(total.ravel())], ["term", "dim", "x"])
@@ -154,11 +181,12 @@ def latent(docs: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: in
         got = arrow_stage(some.coalesce(3), each, "term long, dim long, x double").groupBy("term", "dim").agg(F.sum("x").alias("x")).toArrow()
         basis = product(own, g)
         np.add.at(basis, (got["term"].to_numpy(), got["dim"].to_numpy()), got["x"].to_numpy())
+    drop_cut(some)
     basis, _ = np.linalg.qr(basis)
     return np.append(basis * idf[:, None], np.zeros((1, rank)), axis=0).astype(np.float32)
 
 
-def judge(item: list[str], words: list[str], at: int, offset: int) -> tuple[float, float, int, int]:
+def judge(item: list, words: list, at: int, offset: int) -> tuple[float, float, int, int]:
     """Shares of the item's words and of its answer's in the stretch where the item would lie; the stretch."""
     slack = len(item) // 6 + 3
     low, high = max(0, at - offset - slack), min(len(words), at - offset + len(item) + slack)
@@ -167,7 +195,7 @@ def judge(item: list[str], words: list[str], at: int, offset: int) -> tuple[floa
     return lcs(item, part) / len(item), lcs(answer, part[-(ANSWER + 2 * slack + STRIDE) :]) / len(answer), low, high
 
 
-def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
+def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
     weight = np.append(idf**2, 0.0)
     norms = np.sqrt(weight[items.matrix()].sum(axis=1))
     owner = np.array([k for k, _ in items.passages])
@@ -177,23 +205,24 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
     passages = project(items.matrix()[used], basis)
     places = [p for p, u in zip(items.passages, used) if u]
     floor = (COSINE * norms[used].min()) ** 2
-    shared = docs.sparkSession.sparkContext.broadcast((items, basis, passages, places, weight, floor))  # BLOCK items at most
+    shared = held.sparkSession.sparkContext.broadcast((items, basis, passages, places, weight, floor))  # BLOCK items at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, basis, passages, places, weight, floor = shared.value
         owner, offset = np.array(places).T
         lengths = np.array([len(w) for w in items.words])
+        wanted: list[list[int]] = []
         member = np.zeros((len(items.words), len(items.vocab) + 1), dtype=bool)  # the last column: no term
         for k, w in enumerate(items.words):
-            member[k, [items.vocab[x] for x in w]] = True
+            wanted.append([items.vocab[x] for x in w])
+            member[k, wanted[-1]] = True
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                terms = numbered(words, items.vocab)
+            for doc, terms in zip(batch.column(0).to_pylist(), term_arrays(batch.column(1))):
                 starts = windows(terms, loose)
                 weights = np.concatenate(([0.0], np.cumsum(weight[terms])))
                 starts = starts[weights[np.minimum(starts + WINDOW, len(terms))] - weights[starts] >= floor]
+                words = terms.tolist() if len(starts) else []
                 best: dict[int, tuple] = {}
                 for k in range(0, len(starts), 2048):
                     part = gathered(terms, starts[k : k + 2048])
@@ -210,7 +239,7 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
                         if seen == (item, at):
                             continue
                         seen = (item, at)
-                        share, answer, low, high = judge(items.words[item], words, at * STRIDE + STRIDE // 2, 0)
+                        share, answer, low, high = judge(wanted[item], words, at * STRIDE + STRIDE // 2, 0)
                         if share >= strict or share >= loose and answer >= 0.8:
                             best[item] = max(best.get(item, (0.0,)), (share, answer, float(near[r[i], c[i]]), low, high))
                 out += [(doc, items.ids[i], *v) for i, v in sorted(best.items())]
@@ -218,7 +247,7 @@ def search(docs: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
                 doc, item, share, answer, cosine, low, high = zip(*out)
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(share), pa.array(answer), pa.array(cosine), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "item_id", "lcs_share", "answer_share", "cosine", "first_word", "end_word"])
 
-    return arrow_stage(docs, each, "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long", rows=256)
+    return arrow_stage(held, each, "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long", rows=256)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, strict: float = 0.8, loose: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,9 +260,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, strict: float = 0.8, loose: flo
         # about BLOCK items, which blocks of a hash share out
         items = Items(sorted((r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()))
         if items.passages:
-            df, n = frequencies(rows, items.vocab)
+            held = numbered_docs(rows, items.vocab, min(FIT_SHARE, loose))
+            df, n = frequencies(held, items.vocab)
             idf = np.log1p(max(1, n) / (df + 1.0))
-            found = search(rows, items, idf, latent(rows, items, idf, n), strict, loose)
+            held = held.where("terms IS NOT NULL").select("doc_id", "terms")
+            found = search(held, items, idf, latent(held, items, idf, n), strict, loose)
             out = found if out is None else out.union(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long")

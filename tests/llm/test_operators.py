@@ -17,9 +17,10 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from quire.llm import decontaminate, media, packing, pii, quality, secrets, sharding, simhash, substring, token_counts
+from quire.llm import common, decontaminate, media, packing, pii, quality, secrets, sharding, simhash, substring, token_counts
 from quire.llm.components import components
 
+from ..conftest import SMALL
 from .conftest import odd_rows, prose
 
 N_ODD = len(odd_rows())
@@ -345,6 +346,29 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_recall_against_brute_force(spark):
+    """Every stretch of every document, without windows, weights or latent vectors before the common subsequence."""
+    docs, bench = (common.table(spark, SMALL, n) for n in ("documents", "benchmark"))
+    items = decontaminate.Items([(r.item_id, r.text) for r in bench.collect()])
+    members = [set(w) for w in items.words]
+    want = set()
+    for doc in docs.collect():
+        words = decontaminate.words_of(doc.text)
+        for k, item in enumerate(items.words):
+            slack = len(item) // 6 + 3
+            held = np.concatenate(([0], np.cumsum([x in members[k] for x in words])))
+            for at in range(0, max(1, len(words) - len(item) + decontaminate.STRIDE), decontaminate.STRIDE):
+                low, high = max(0, at - slack), min(len(words), at + len(item) + slack)
+                if held[high] - held[low] < 0.6 * len(item):
+                    continue  # too few of its words for a common subsequence that long
+                share, answer, *_ = decontaminate.judge(item, words, at, 0)
+                if share >= 0.8 or share >= 0.6 and answer >= 0.8:
+                    want.add((doc.doc_id, items.ids[k]))
+                    break
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert want and len(want & got) >= 0.9 * len(want), (len(want), len(want & got))
+
+
 def test_lcs():
     r = random.Random(5)
     for _ in range(200):
