@@ -423,6 +423,57 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     assert {(x.doc_id, x.at, x.kept_doc) for x in substring.repeated(docs_of(spark, texts)).collect()} == full
 
 
+def blocks(text):
+    """Lines, and runs of several lines between blank ones: (first word, words), in a plain way."""
+    out, at, run = [], 0, []
+    for line in [*text.split("\n"), ""]:
+        words = line.lower().split()
+        if words:
+            out.append((at, words))
+            run.append((at, words))
+        else:
+            out += [(run[0][0], [w for _, x in run for w in x])] if len(run) > 1 else []
+            run = []
+        at += len(words)
+    return [(a, w) for a, w in out if len(w) >= 5]
+
+
+def near_copied_texts():
+    r = random.Random(12)
+    texts = []
+    for i in range(60):
+        long, short, few = prose(55, 8000 + i).split(), prose(15, 8100 + i).split(), prose(6, 8200 + i)
+        texts.append("\n".join([prose(7, 8300 + i), " ".join(long), prose(9, 8400 + i), " ".join(short), few]))
+        long[r.randrange(20, 35)] = "changed"
+        short[-1] = "changed"
+        k = r.randrange(20, 40)
+        kind = i % 4
+        texts.append([" ".join(long), " ".join(short), few, prose(8, 8500 + i) + "\n\n" + " ".join(long[:k]) + "\n" + " ".join(long[k:])][kind])
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [32, 1])
+def test_near_copied_paragraphs_against_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substring, "CROWD", crowd)
+    texts = near_copied_texts()
+    sets = [(d, a, len(w), {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for d, t in enumerate(texts) for a, w in blocks(t)]
+    want = set()
+    for x, y in itertools.combinations(sets, 2):
+        if x[0] != y[0] and len(x[3] & y[3]) >= 0.8 * len(x[3] | y[3]):
+            want |= {x[:3], y[:3]}
+    assert {d for d, *_ in want} == set(range(120))
+    got = {(x.doc_id, x.at, x.words) for x in substring.repeated(docs_of(spark, texts)).collect()}
+    assert len(want & got) >= 0.98 * len(want), (len(want & got), len(want))
+    assert all(x in want for x in got if x[2] != substring.LENGTH)
+
+
+def test_crowded_near_copies_of_a_block_are_one_passage(spark):
+    base = prose(60, 9100).split()
+    texts = [" ".join([*base[:k], f"new{i}", *base[k + 1 :]]) + "\n" + prose(6, 9200 + i) for i, k in enumerate(random.Random(1).choices((0, 1, 2, 57, 58, 59), k=150))]
+    got = [x for x in substring.repeated(docs_of(spark, texts)).collect() if x.words == 60]
+    assert {x.doc_id for x in got} == set(range(150)) and len({x.passage_id for x in got}) == 1
+
+
 # ---- 1: secrets ----------------------------------------------------------------------------------------------------
 
 
