@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group."""
+    """The document with the smallest id of each group; one without an id stays if its group has none with one."""
     return one_of_each(docs.select(*COLUMNS))
 
 

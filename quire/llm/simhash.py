@@ -12,8 +12,9 @@ within k bits of a common one, so each is put with every fingerprint within k bi
 there; for an odd number of bits one of the two takes one more step.
 
 Edge cases: a null text counts as empty; no words give fingerprint zero, which links like others; fewer words than
-a shingle's give one shingle; null ids take no part in links but keep a row; repeated rows stay; an empty
-table gives an empty result; further columns are ignored.
+a shingle's give one shingle; null ids name no component but keep a row; repeated rows stay; an empty
+table gives an empty result; further columns are ignored. ``one_of_each`` chooses by row: of a component the row with the least
+id, nulls last, and of rows with that id one text; rows without an id stay where nothing is like them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, cut, table
+from .common import arrow_stage, cut, free_name, table
 from .components import components
 
 #: Bit counts of each byte's values, most significant bit first.
@@ -61,17 +62,21 @@ def fingerprints_of(texts: list[str], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and a hash of the text of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = batch.column(1).to_pylist(), []
             for k in range(0, len(texts), 128):
                 found.append(fingerprints_of([t or "" for t in texts[k : k + 128]], words))
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), batch.column(2)], ["doc_id", "fp", "hash"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_stage(rows, each, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("hash"))
+    return arrow_stage(rows, each, "doc_id long, fp long, hash long")
+
+
+def text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def chain_keys(fp: str, bits: int, segments: int) -> tuple[F.Column, int]:
@@ -123,25 +128,34 @@ def crowded_links(classes: DataFrame, bits: int) -> DataFrame:
     return stars
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 8, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest id reachable over links) of every row of ``docs``."""
+def grouped(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 8, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every row; and fp, first (the smallest id), root (the smallest fingerprint reachable) of each class."""
     prints = cut(fingerprints(docs, words, id_col, text_col), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = links(classes.select("fp"), bits, segments, crowd)
     # components are found over fingerprints, then named by the smallest id in them
     rooted = components(edges)
-    named = cut(classes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+    return prints, cut(classes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp, component_id (the smallest id reachable over links) of every row of ``docs``; options as for ``grouped``."""
+    prints, named = grouped(docs, **options)
     small = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(small, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows that share that id keep one text."""
-    first = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    ident = options.get("id_col", "doc_id")
-    kept = docs.join(first.select(F.col("doc_id").alias(ident)), ident, "left_semi")
-    return kept.dropDuplicates([ident]).select(*docs.columns)
+    """``docs`` without the rows whose component has another row with a smaller id, or with the same id and another text first."""
+    prints, named = grouped(docs, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    first = prints.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.hash").distinct()
+    ident, digest = free_name(docs, "ident"), free_name(docs, "digest")
+    rows = docs.withColumns({ident: F.col(options.get("id_col", "doc_id")).cast("long"), digest: text_hash(options.get("text_col", "text"))})
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("hash").alias("first_hash"))
+    kept = rows.join(first, F.col(ident).eqNullSafe(F.col("first_id")) & (F.col(digest) == F.col("first_hash")), "left_semi")
+    return kept.dropDuplicates([ident, digest]).select(*docs.columns)
 
 
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

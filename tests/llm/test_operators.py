@@ -141,6 +141,15 @@ def test_near_duplicates(spark, odd, empty):
     assert kept.columns == odd.columns and [r.doc_id for r in kept.where("doc_id IN (5, 6, 7, 8)").orderBy("doc_id").collect()] == [5, 7]
 
 
+def test_one_of_each_chooses_by_row(spark, odd):
+    """Unique texts stay, whatever their id: none, or one that a copy has as well."""
+    x, y, z = prose(60, 501), prose(60, 502), prose(60, 503)
+    rows = [(3, x), (5, x), (5, y), (None, z), (None, y), (None, prose(60, 504)), (None, prose(60, 504)), (7, z), (9, None)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, x), (5, y), (7, z), (None, prose(60, 504)), (9, None)], key=str)
+    assert [r.text[:7] for r in simhash.one_of_each(odd).where("doc_id IS NULL").collect()] == ["null id"]
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(r.randint(300, 340), r.randint(300, 340)) for _ in range(30)]

@@ -36,3 +36,10 @@ def test_odd_rows(spark, odd):
             docs = out
         elif out is not None:
             assert out.count() > 0
+
+
+def test_rows_without_an_id_stay(spark, odd):
+    """Of the odd rows without an id one has a text that nothing is like."""
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns and [r.text[:7] for r in kept.where("doc_id IS NULL").collect()] == ["null id"]
