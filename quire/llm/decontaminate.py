@@ -6,10 +6,11 @@
    A'(A G), the parts are summed by term, and the driver (terms x RANK numbers, terms bounded by the block of
    benchmark items) orthonormalises and repeats. It is fitted on the items' passages and on those of a bounded sample of
    about ``FIT_DOCS`` documents.
-3. Every document is searched whole, in windows of ``WINDOW`` words, ``STRIDE`` apart, against each item's weightier
-   passages. Two bounds leave windows out before they are projected: one that holds too few of the benchmark's words for any
-   item to reach ``loose``, and one whose words weigh too little for a cosine of ``COSINE`` with any passage. The others are
-   projected; passages with that cosine or more are candidates.
+3. Every document is searched whole, in windows of ``WINDOW`` words, ``STRIDE`` apart, against every passage of each
+   item. Two bounds leave windows out before they are projected: one that holds fewer of the benchmark's words than the fullest
+   window of a stretch in which an item reaches ``loose`` must, and one whose words weigh too little for a cosine of ``COSINE``
+   with any passage. The others are projected; passages with that cosine or more are candidates, where the stretch holds as many
+   of the item's words as ``loose`` asks for.
 4. The longest common subsequence of an item's words and the stretch where it would lie decides: ``strict`` of the item's words,
    or ``loose`` of them if the answer, the item's last words, is there as well.
 
@@ -76,6 +77,21 @@ class Items:
         return out
 
 
+def slack_of(n: int) -> int:
+    """How far a stretch reaches beyond where an item of ``n`` words would lie, at either end."""
+    return n // 6 + 3
+
+
+def density(items: Items, share: float) -> float:
+    """The share of a window's words that are the benchmark's, at least, in some window of any stretch in which an item reaches
+    ``share``: the stretch is covered by so many windows at multiples of STRIDE, and they hold all of the item's words."""
+    least = 1.0
+    for n in {len(w) for w in items.words}:
+        covers = -(-(n + 2 * slack_of(n) + STRIDE - 1) // WINDOW)
+        least = min(least, share * n / covers / WINDOW)
+    return least
+
+
 def numbered(words: list[str], vocab: dict[str, int]) -> np.ndarray:
     get = vocab.get
     return np.array([get(w, -1) for w in words], dtype=np.int64)
@@ -188,7 +204,7 @@ def latent(held: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: in
 
 def judge(item: list, words: list, at: int, offset: int) -> tuple[float, float, int, int]:
     """Shares of the item's words and of its answer's in the stretch where the item would lie; the stretch."""
-    slack = len(item) // 6 + 3
+    slack = slack_of(len(item))
     low, high = max(0, at - offset - slack), min(len(words), at - offset + len(item) + slack)
     part = words[low:high]
     answer = item[-ANSWER:]
@@ -198,19 +214,13 @@ def judge(item: list, words: list, at: int, offset: int) -> tuple[float, float,
 def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
     weight = np.append(idf**2, 0.0)
     norms = np.sqrt(weight[items.matrix()].sum(axis=1))
-    owner = np.array([k for k, _ in items.passages])
-    heaviest = np.zeros(len(items.words))
-    np.maximum.at(heaviest, owner, norms)
-    used = norms >= 0.8 * heaviest[owner]
-    passages = project(items.matrix()[used], basis)
-    places = [p for p, u in zip(items.passages, used) if u]
-    floor = (COSINE * norms[used].min()) ** 2
-    shared = held.sparkSession.sparkContext.broadcast((items, basis, passages, places, weight, floor))  # BLOCK items at most
+    passages = project(items.matrix(), basis)
+    floor, least = (COSINE * norms.min()) ** 2, density(items, loose)
+    shared = held.sparkSession.sparkContext.broadcast((items, basis, passages, items.passages, weight, floor))  # BLOCK items at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, basis, passages, places, weight, floor = shared.value
         owner, offset = np.array(places).T
-        lengths = np.array([len(w) for w in items.words])
         wanted: list[list[int]] = []
         member = np.zeros((len(items.words), len(items.vocab) + 1), dtype=bool)  # the last column: no term
         for k, w in enumerate(items.words):
@@ -219,7 +229,7 @@ def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
         for batch in batches:
             out = []
             for doc, terms in zip(batch.column(0).to_pylist(), term_arrays(batch.column(1))):
-                starts = windows(terms, loose)
+                starts = windows(terms, least)
                 weights = np.concatenate(([0.0], np.cumsum(weight[terms])))
                 starts = starts[weights[np.minimum(starts + WINDOW, len(terms))] - weights[starts] >= floor]
                 words = terms.tolist() if len(starts) else []
@@ -228,9 +238,6 @@ def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
                     part = gathered(terms, starts[k : k + 2048])
                     near = project(part, basis) @ passages.T
                     r, c = np.nonzero(near >= COSINE)
-                    # an item that reaches ``loose`` has that share of its words in some window
-                    held = member[owner[c][:, None], part[r]].sum(axis=1) >= loose * np.minimum(WINDOW, lengths[owner[c]])
-                    r, c = r[held], c[held]
                     place = (starts[k + r] - offset[c]) // STRIDE
                     order = np.lexsort((-near[r, c], place, owner[c]))
                     seen = None
@@ -239,7 +246,12 @@ def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
                         if seen == (item, at):
                             continue
                         seen = (item, at)
-                        share, answer, low, high = judge(wanted[item], words, at * STRIDE + STRIDE // 2, 0)
+                        # no common subsequence is longer than the item's words in the stretch
+                        n, centre = len(wanted[item]), at * STRIDE + STRIDE // 2
+                        low, high = max(0, centre - slack_of(n)), max(0, centre + n + slack_of(n))
+                        if member[item, terms[low:high]].sum() < loose * n:
+                            continue
+                        share, answer, low, high = judge(wanted[item], words, centre, 0)
                         if share >= strict or share >= loose and answer >= 0.8:
                             best[item] = max(best.get(item, (0.0,)), (share, answer, float(near[r[i], c[i]]), low, high))
                 out += [(doc, items.ids[i], *v) for i, v in sorted(best.items())]
@@ -260,7 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, strict: float = 0.8, loose: flo
         # about BLOCK items, which blocks of a hash share out
         items = Items(sorted((r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()))
         if items.passages:
-            held = numbered_docs(rows, items.vocab, min(FIT_SHARE, loose))
+            held = numbered_docs(rows, items.vocab, density(items, loose))
             df, n = frequencies(held, items.vocab)
             idf = np.log1p(max(1, n) / (df + 1.0))
             held = held.where("terms IS NOT NULL").select("doc_id", "terms")

@@ -378,6 +378,42 @@ def test_leaks_recall_against_brute_force(spark):
     assert want and len(want & got) >= 0.9 * len(want), (len(want), len(want & got))
 
 
+def test_leaks_with_inserted_words(spark):
+    """Items of which two thirds are kept, the answer whole, with other words between them."""
+    r = random.Random(17)
+    items = [prose(24, 6000 + i) for i in range(20)]
+    texts = []
+    for i in range(100):
+        w = items[i % 20].split()
+        gone = set(r.sample(range(len(w) - 5), 8))
+        passage = [x for k, x in enumerate(w) if k not in gone]
+        for _ in range(12):
+            passage.insert(r.randrange(len(passage) - 5), "inserted")
+        texts.append(" ".join(["before"] * 50 + passage + ["after"] * 50))
+    words = [decontaminate.words_of(x) for x in items]
+    want = set()
+    for d, t in enumerate(texts):
+        doc = decontaminate.words_of(t)
+        for at in range(0, len(doc), 2):
+            share, answer, *_ = decontaminate.judge(words[d % 20], doc, at, 0)
+            if share >= 0.8 or share >= 0.6 and answer >= 0.8:
+                want.add((d, d % 20))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert len(want) > 80 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
+
+
+def test_density_is_a_bound():
+    items = decontaminate.Items([(i, prose(n, i)) for i, n in enumerate((8, 16, 24, 39))])
+    least, r = decontaminate.density(items, 0.6), random.Random(2)
+    for _ in range(300):
+        n = r.choice((8, 16, 24, 39))
+        size = n + 2 * decontaminate.slack_of(n)
+        terms = np.full(200, -1)
+        terms[r.randrange(60, 80) + np.array(r.sample(range(size), -(-n * 6 // 10)))] = 1
+        assert len(decontaminate.windows(terms, least))
+
+
 def test_lcs():
     r = random.Random(5)
     for _ in range(200):
