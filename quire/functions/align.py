@@ -4,6 +4,7 @@ functions. Ties between equally short scripts go to the leftmost: equal before r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,14 @@ from pyspark.sql.functions import udtf
 
 # workers import this module too, where no session could parse a type from a string
 SCRIPT = T.StructType([T.StructField("tag", T.StringType()), *(T.StructField(x, T.IntegerType()) for x in ("a0", "a1", "b0", "b1"))])
+#: Cells of a table that is kept whole.
+CELLS = 4_000_000
 COUNTS = T.StructType([T.StructField(x, T.LongType()) for x in ("errors", "matched", "replaced", "deleted", "inserted")])
 
 
 def opcodes(a: Sequence, b: Sequence) -> list[tuple[str, int, int, int, int]]:
-    """The least edit script as runs (tag, a0, a1, b0, b1); equal ends are cut off before the table is filled."""
+    """The least edit script as runs (tag, a0, a1, b0, b1); equal ends are cut off before the table is filled.
+    Of a table of more than ``CELLS`` only some rows are kept; those between them are filled again as the script comes to them."""
     n, m = len(a), len(b)
     head = 0
     while head < min(n, m) and a[head] == b[head]:
@@ -29,20 +33,32 @@ def opcodes(a: Sequence, b: Sequence) -> list[tuple[str, int, int, int, int]]:
     names: dict = {}
     xs = np.array([names.setdefault(v, len(names)) for v in x], dtype=np.int64)
     ys = np.array([names.setdefault(v, len(names)) for v in y], dtype=np.int64)
-    cost = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)  # of the rests from (i, j)
-    cost[len(x)] = np.arange(len(y), -1, -1)
     steps = np.arange(len(y) + 1)
-    for i in range(len(x) - 1, -1, -1):
-        best = cost[i + 1] + 1
-        best[:-1] = np.minimum(best[:-1], cost[i + 1, 1:] + (ys != xs[i]))
+
+    def above(row: np.ndarray, i: int) -> np.ndarray:
+        """Costs of the rests from (i, j), from those of i + 1."""
+        best = row + 1
+        best[:-1] = np.minimum(best[:-1], row[1:] + (ys != xs[i]))
         # inserts: a running minimum from the right
-        cost[i] = np.minimum.accumulate((best + steps)[::-1])[::-1] - steps
+        return np.minimum.accumulate((best + steps)[::-1])[::-1] - steps
+
+    every = 1 if (len(x) + 1) * (len(y) + 1) <= CELLS else isqrt(len(x)) + 1
+    row = np.arange(len(y), -1, -1)
+    cost = {len(x): row}
+    for i in range(len(x) - 1, -1, -1):
+        row = above(row, i)
+        if i % every == 0:
+            cost[i] = row
     out: list[list] = [["equal", 0, head, 0, head]] if head else []
     i = j = 0
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and cost[i, j] == cost[i + 1, j + 1] + (x[i] != y[j]):
+        if i < len(x) and i + 1 not in cost:
+            upto = min(len(x), (i // every + 1) * every)
+            for k in range(upto - 1, i, -1):
+                cost[k] = above(cost[k + 1], k)
+        if i < len(x) and j < len(y) and cost[i][j] == cost[i + 1][j + 1] + (x[i] != y[j]):
             tag, di, dj = ("equal" if x[i] == y[j] else "replace"), 1, 1
-        elif i < len(x) and cost[i, j] == cost[i + 1, j] + 1:
+        elif i < len(x) and cost[i][j] == cost[i + 1][j] + 1:
             tag, di, dj = "delete", 1, 0
         else:
             tag, di, dj = "insert", 0, 1
@@ -51,6 +67,8 @@ def opcodes(a: Sequence, b: Sequence) -> list[tuple[str, int, int, int, int]]:
             out[-1][4] += dj
         else:
             out.append([tag, head + i, head + i + di, head + j, head + j + dj])
+        if di and every > 1:
+            del cost[i]
         i, j = i + di, j + dj
     if tail:
         if out and out[-1][0] == "equal":

@@ -133,7 +133,7 @@ def block_diff(old: DataFrame, new: DataFrame, by: str = "book") -> DataFrame:
 
 @query()
 def build_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(table(spark, sf_dir, "documents")).where("line < 40").select(F.col("doc_id").cast("string").alias("book"), F.col("line").alias("n"), "text")
+    rows = lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("book"), F.col("line").alias("n"), "text")
     new = rows.where("n <> 2").withColumn("text", F.when(F.col("n") == 1, F.upper("text")).otherwise(F.col("text")))
     return block_diff(rows, new)
 

@@ -146,3 +146,35 @@ def test_registry_without_other_packages():
     subprocess.run([sys.executable, "-c", code], check=True)
 
 
+
+
+def test_scripts_with_few_rows_kept_are_the_same(monkeypatch):
+    import random
+
+    from quire.functions import align
+
+    r = random.Random(3)
+    cases = [([r.choice("abcd") for _ in range(r.randint(0, 40))], [r.choice("abcd") for _ in range(r.randint(0, 40))]) for _ in range(200)]
+    whole = [align.opcodes(a, b) for a, b in cases]
+    monkeypatch.setattr(align, "CELLS", 0)
+    assert [align.opcodes(a, b) for a, b in cases] == whole
+
+
+def test_build_diff_reads_whole_documents(spark, tmp_path):
+    from quire.plans.typesetting import build_diff
+
+    text = "\n".join(["b", "b", "c", *(f"x{k}" for k in range(60))])
+    other = "\n".join([*(f"y{k}" for k in range(50)), *(f"y{k}" for k in range(50))])
+    spark.createDataFrame([(1, text, "en", "s"), (2, other, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    import quire.plans.typesetting as t
+
+    rows = t.lines(t.table(spark, str(tmp_path), "documents")).selectExpr("CAST(doc_id AS STRING) book", "line n", "text")
+    late = t.block_diff(rows, rows.where("n <> 45")).collect()
+    assert {(x.book, x.change, x.old_n) for x in late} == {("1", "removed", 45), ("2", "removed", 45)}
+    seen = []
+    whole, t.block_diff = t.block_diff, lambda old, new: seen.append(old.agg({"n": "max"}).first()[0]) or whole(old, new)
+    try:
+        build_diff(spark, str(tmp_path)).collect()
+    finally:
+        t.block_diff = whole
+    assert seen == [99]
