@@ -12,10 +12,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of our own is made only where the setting is absent, as in tests on one machine."""
+    """The folder that the setting names. Without one a local master gets a folder of its own, as in tests; on a cluster, where no
+    machine's folder would do, RuntimeError is raised."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="quire-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

@@ -43,3 +43,9 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"arbiter_scores"}))
 def test_runs(spark, name):
     QUERIES[name](spark, SMALL).collect()
+
+
+def test_bench_takes_the_queries_there_are():
+    from bench import timed
+
+    assert timed({"opening_habits": 0, "op10_b": 0, "op2_a": 0, "pipeline": 0, "page_counts": 0}) == ["page_counts", "op2_a", "op10_b", "pipeline"]
