@@ -1,14 +1,10 @@
 """What the operators of this package share: reading a table, cutting lineage, Arrow stages.
 
-Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which all executors
-and the driver share; a folder of our own is made only where that setting is absent (tests).
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which all executors and the driver share.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,24 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
+from ..operators.storage import shared_dir
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one where no setting names any."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_to:
-        return set_to
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="quire-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return f"file://{_own['dir']}"
-
-
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later stages survive a lost executor
     without recomputing what lies before."""

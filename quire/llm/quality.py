@@ -7,33 +7,35 @@ probability P(grade >= 2) select documents.
 Features are the presence of words and of token shapes (letters and digits folded, so "word$$$" and "WORD!!" show),
 and buckets of length and repetition, hashed to ``WIDTH`` numbers. The model is fitted on at most
 ``max_labelled`` labelled documents, those with the least hash of their id, whatever the size of the corpus. Features in fewer
-than ``MIN_DOCS`` of them get no weight.
+than ``MIN_DOCS`` of them get no weight. Their features are a written table; each step adds up the slopes of its parts, so the driver
+holds vectors of ``WIDTH`` numbers and no text or feature list.
 
 Edge cases: a null text counts as empty, and a text without words is graded by the model but never kept; ties at the threshold
 are kept; repeated rows stay; of several labels of a document any toxic one counts and else the worse quality; null labels are
-no labels; without labels of at least two grades there is no model and fitting raises ValueError; an empty table of
-documents gives an empty result if the labels come with documents of their own.
+no labels; without labelled documents of at least two grades there is no model: ``train`` raises NoGrades (a ValueError), ``fitted``
+gives None, and every text with words is kept with null grades; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, free_name, table
+from .common import arrow_stage, cut, drop_cut, free_name, table
 
 WIDTH = 1 << 18
 MIN_DOCS = 4
 CACHED = 300_000
 #: The number of rows for which the lasso penalty is given.
 PENALTY_ROWS = 20_000
-PART = 2_000
+#: Parts of the labelled table, and rows that a part works on at once.
+PARTS, PART = 8, 2_000
 UPPER, LOWER, DIGITS = re.compile(r"[^\W\d_a-zß-ÿ]{2,}"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 PLAIN = {"a", "a.", "a,", ""}
 
@@ -41,7 +43,7 @@ PLAIN = {"a", "a.", "a,", ""}
 def features_of_token(token: str) -> tuple[int, ...]:
     """Of its letters, lower-cased, and of its shape if that is an unusual one."""
     word = "".join(LOWER.findall(token)).lower()
-    shape = DIGITS.sub("9", LOWER.sub("a", UPPER.sub("Ā", token)))[:12]
+    shape = DIGITS.sub("9", LOWER.sub("a", UPPER.sub("Ā", token)))
     out = [zlib.crc32(b"w" + word.encode()) % WIDTH] if word else []
     if shape not in PLAIN:
         out.append(zlib.crc32(b"s" + shape.encode()) % WIDTH)
@@ -97,49 +99,126 @@ class Model:
         return (1 - below).sum(axis=1), 1 - below[:, -1]
 
 
-def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int = 3, rounds: int = 300, lasso: float = 1e-4, step: float = 0.05) -> Model:
-    """Maximum likelihood with a lasso penalty, which leaves chance words at zero, by Adam over all rows; the thresholds' gaps are exponentials, so they stay in order. ``flat``: the feature numbers
-    of all rows, one row after another; ``sizes``: how many each row has."""
-    if len(set(grades.tolist())) < 2:
-        raise ValueError("labels of at least two grades are needed")
-    lasso *= np.sqrt(PENALTY_ROWS / len(sizes))  # fewer rows leave more to chance
-    used = np.bincount(flat, minlength=WIDTH) >= MIN_DOCS
-    names, place = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
-    # rows in parts, so what a step works on stays small beside the features themselves
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    parts = []
-    for r in range(0, len(sizes), PART):
-        own = flat[edges[r] : edges[min(r + PART, len(sizes))]]
-        owner = np.repeat(np.arange(min(PART, len(sizes) - r), dtype=np.int32), sizes[r : r + PART])
-        kept = used[own]
-        parts.append((r, place[own[kept]], owner[kept]))
-    del flat
-    w, free = np.zeros(len(names)), np.zeros(levels - 1)
-    free[0] = -1.0
-    state = [np.zeros(len(w) + len(free)), np.zeros(len(w) + len(free))]
-    n = len(sizes)
-    for t in range(1, rounds + 1):
-        cuts = np.concatenate((free[:1], free[:1] + np.cumsum(np.exp(free[1:]))))
-        score = np.concatenate([np.bincount(owner, w[own], min(PART, n - r)) for r, own, owner in parts])
-        edge = np.concatenate((np.full((n, 1), 0.0), sigmoid(cuts[None, :] - score[:, None]), np.full((n, 1), 1.0)), axis=1)
-        slope = edge * (1 - edge)
-        p = np.maximum(edge[np.arange(n), grades + 1] - edge[np.arange(n), grades], 1e-9)
-        up, down = slope[np.arange(n), grades + 1] / p, slope[np.arange(n), grades] / p
-        by_score = (up - down) / n  # of the loss: each threshold's term has the opposite sign
-        by_cut = np.array([(np.where(grades == k, -up, 0) + np.where(grades == k + 1, down, 0)).sum() / n for k in range(levels - 1)])
-        by_free = np.concatenate(([by_cut.sum()], [by_cut[k:].sum() * np.exp(free[k]) for k in range(1, levels - 1)]))
-        by_weight = sum(np.bincount(own, by_score[r : r + PART][owner], len(w)) for r, own, owner in parts)
-        grad = np.concatenate((by_weight + lasso * np.sign(w), by_free))
-        state[0] = 0.9 * state[0] + 0.1 * grad
-        state[1] = 0.99 * state[1] + 0.01 * grad**2
-        move = step * state[0] / (1 - 0.9**t) / (np.sqrt(state[1] / (1 - 0.99**t)) + 1e-8)
-        w -= move[: len(w)]
-        if t > rounds - 50:  # near the end weights that only swing about zero are set to it
-            w[np.abs(w) < step / 2] = 0
-        free -= move[len(w) :]
+class NoGrades(ValueError):
+    """Labels of fewer than two grades: there is nothing to tell apart."""
+
+
+def part_of(own: Model, free: np.ndarray, rows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """What some rows add to the negative log-likelihood and to its slopes by the weights and by the thresholds. Each item of
+    ``rows``: feature numbers one row after another, how many each row has, grades."""
+    loss, by_weight, by_cut = 0.0, np.zeros(len(own.weights)), np.zeros(len(free))
+    for flat, sizes, grades in rows:
+        n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        score = np.bincount(owner, own.weights[flat], n)
+        edge = np.concatenate((np.zeros((n, 1)), sigmoid(own.thresholds[None, :] - score[:, None]), np.ones((n, 1))), axis=1)
+        slope, at = edge * (1 - edge), np.arange(n)
+        p = np.maximum(edge[at, grades + 1] - edge[at, grades], 1e-9)
+        up, down = slope[at, grades + 1] / p, slope[at, grades] / p
+        loss -= float(np.log(p).sum())
+        by_weight += np.bincount(flat, (up - down)[owner], len(by_weight))  # each threshold's term has the opposite sign
+        for k in range(len(free)):
+            by_cut[k] += down[grades == k + 1].sum() - up[grades == k].sum()
+    # the gaps between thresholds are exponentials, so they stay in order
+    return loss, by_weight, np.array([by_cut[k:].sum() * (np.exp(free[k]) if k else 1.0) for k in range(len(free))])
+
+
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    return free[0] + np.concatenate(([0.0], np.cumsum(np.exp(free[1:]))))
+
+
+def least(slopes: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, lasso: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
+    """The place of the least loss with a lasso penalty, by limited-memory quasi-Newton steps that stay within an orthant (Andrew and
+    Gao 2007); ends at ``rounds`` steps or where one gains less than 1e-4 of the loss."""
+    loss, grad = slopes(x)
+    total, moved, turned = loss + lasso @ np.abs(x), [], []
+    for _ in range(rounds):
+        down, up = grad - lasso, grad + lasso
+        steep = np.where(x > 0, up, np.where(x < 0, down, np.where(up < 0, up, np.maximum(down, 0))))
+        if not steep.any():
+            break
+        go, shares = -steep, []
+        for s, y in zip(reversed(moved), reversed(turned)):
+            shares.append(s @ go / (s @ y))
+            go = go - shares[-1] * y
+        if moved:
+            go = go * (moved[-1] @ turned[-1] / (turned[-1] @ turned[-1]))
+        for s, y, share in zip(moved, turned, reversed(shares)):
+            go = go + s * (share - y @ go / (s @ y))
+        go[go * steep >= 0] = 0
+        side, step = np.where(x != 0, np.sign(x), -np.sign(steep)), 1.0 if moved else 1 / np.linalg.norm(steep)
+        for _ in range(12):
+            new = x + step * go
+            new[new * side < 0] = 0
+            loss, new_grad = slopes(new)
+            new_total = loss + lasso @ np.abs(new)
+            if new_total <= total + 1e-4 * (steep @ (new - x)):
+                break
+            step /= 2
+        else:
+            break
+        s, y = new - x, new_grad - grad
+        if s @ y > 1e-12:
+            moved, turned = [*moved, s][-memory:], [*turned, y][-memory:]
+        x, grad, gain, total = new, new_grad, total - new_total, new_total
+        if gain < 1e-4 * total:
+            break
+    return x
+
+
+def fit(rows: DataFrame, levels: int = 3, rounds: int = 50, lasso: float = 1e-4) -> Model:
+    """Maximum likelihood with a lasso penalty, which leaves chance words at zero. ``rows`` (features array<int>, grade int) is a
+    written table of bounded size; its tasks add up their parts of the slopes, and the driver holds vectors of ``WIDTH`` numbers at most."""
+    spark = rows.sparkSession
+
+    def over(each: Callable[[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], list[np.ndarray]]) -> list[np.ndarray]:
+        """The sum over the table's tasks of the vectors that ``each`` makes of a task's rows."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = ((b.column(0).flatten().to_numpy(), b.column(0).value_lengths().to_numpy().astype(np.int64), b.column(1).to_numpy().astype(np.int64)) for b in batches)
+            yield pa.record_batch([pa.array([v.astype("<f8").tobytes()], pa.binary()) for v in each(parts)], names)
+
+        names = [f"v{k}" for k in range(3)]
+        total: list[np.ndarray] = []
+        for got in arrow_stage(rows, task, ", ".join(f"{n} binary" for n in names), rows=PART).collect():  # PARTS rows or so
+            vectors = [np.frombuffer(x, "<f8") for x in got]
+            total = [a + b for a, b in zip(total, vectors)] if total else vectors
+        return total
+
+    def counts(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        features, grades, n = np.zeros(WIDTH), np.zeros(levels), 0
+        for flat, sizes, own in parts:
+            features += np.bincount(flat, minlength=WIDTH)
+            grades += np.bincount(own, minlength=levels)
+            n += len(sizes)
+        return [features, grades, np.array([float(n)])]
+
+    found = over(counts)
+    if not found or (found[1] > 0).sum() < 2:
+        raise NoGrades("labels of at least two grades are needed")
+    names, n = np.flatnonzero(found[0] >= MIN_DOCS), found[2][0]
+    del found
+
+    def slopes(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = np.zeros(WIDTH, np.float32)
+        weights[names] = x[: len(names)]
+        free = x[len(names) :]
+        shared = spark.sparkContext.broadcast((weights, names, free))  # WIDTH numbers
+
+        def each(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+            weights, names, free = shared.value
+            loss, by_weight, by_free = part_of(Model(weights, thresholds_of(free)), free, parts)
+            return [np.array([loss]), by_weight[names], by_free]
+
+        loss, by_weight, by_free = over(each)
+        shared.destroy()
+        return loss[0] / n, np.concatenate((by_weight, by_free)) / n
+
+    x, penalty = np.zeros(len(names) + levels - 1), np.full(len(names) + levels - 1, lasso * np.sqrt(PENALTY_ROWS / n))  # fewer rows leave more to chance
+    x[len(names)], penalty[len(names) :] = -1.0, 0.0
+    x = least(slopes, x, penalty, rounds)
     weights = np.zeros(WIDTH, np.float32)
-    weights[names] = w
-    return Model(weights, np.concatenate((free[:1], free[:1] + np.cumsum(np.exp(free[1:])))))
+    weights[names] = x[: len(names)]
+    return Model(weights, thresholds_of(x[len(names) :]))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -161,27 +240,40 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Mod
             yield pa.record_batch([batch.column(0), pa.array([make.of(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.int32())), batch.column(2)], ["doc_id", "features", "grade"])
 
     rows = labelled_rows(docs, labels, max_labelled).select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
-    got = arrow_stage(rows, each, "doc_id long, features array<int>, grade int").toArrow().sort_by("doc_id")
-    lists = got["features"].combine_chunks()
-    sizes, grades = lists.value_lengths().to_numpy().astype(np.int64), got["grade"].to_numpy().astype(np.int64)
-    del got
-    return fit(lists.flatten().to_numpy(), sizes, grades)
-
-
-def grade(docs: DataFrame, model: Model, keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``docs`` with expected_grade, tail_probability and keep."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # WIDTH numbers
+    # max_labelled rows at most, so a bounded table, dealt out by id; the slopes are added up over its parts
+    made = arrow_stage(rows, each, "doc_id long, features array<int>, grade int").repartition(PARTS, "doc_id").select("features", "grade")
+    made = cut(made, "labelled")
+    try:
+        return fit(made)
+    finally:
+        drop_cut(made)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model | None:
+    """The model, or None where the labelled documents are not of two grades at least."""
+    try:
+        return train(docs, labels, max_labelled)
+    except NoGrades:
+        return None
+
+
+def grade(docs: DataFrame, model: Model | None, keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` with expected_grade, tail_probability and keep; without a model the first two are null and any text with words is kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.weights, model.thresholds))  # WIDTH numbers
     names = [free_name(docs, n) for n in ("expected_grade", "tail_probability", "keep")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        make = Features(own.weights != 0)
+        own = shared.value and Model(*shared.value)
+        make = Features(own.weights != 0) if own else None
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            scores = np.array([float(own.weights[make.of(t or "")].sum()) for t in texts])
-            expected, tail = own.grades(scores)
             words = np.array([bool(t) and not t.isspace() for t in texts], dtype=bool)
-            yield pa.record_batch([*batch.columns, pa.array(expected), pa.array(tail), pa.array((tail >= keep_at) & words)], [*batch.schema.names, *names])
+            if own:
+                expected, tail = own.grades(np.array([float(own.weights[make.of(t or "")].sum()) for t in texts]))
+                found = [pa.array(expected), pa.array(tail), pa.array((tail >= keep_at) & words)]
+            else:
+                found = [pa.nulls(len(texts), pa.float64()), pa.nulls(len(texts), pa.float64()), pa.array(words)]
+            yield pa.record_batch([*batch.columns, *found], [*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return arrow_stage(docs, each, f"{schema}, {names[0]} double, {names[1]} double, {names[2]} boolean")
@@ -189,4 +281,4 @@ def grade(docs: DataFrame, model: Model, keep_at: float = 0.5, text_col: str = "
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return grade(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return grade(docs, fitted(docs, table(spark, sf_dir, "labels"))).drop("text")
