@@ -12,7 +12,7 @@ from quire.llm.common import cut, free_name, table
 from quire.llm.decontaminate import leaks
 from quire.llm.packing import pack
 from quire.llm.pii import redact
-from quire.llm.quality import grade, train
+from quire.llm.quality import fitted, grade
 from quire.llm.simhash import one_of_each
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is likely the highest; the model is fitted on the labelled ones of them."""
-    graded = grade(docs.select(*COLUMNS), train(docs, table(spark, sf_dir, "labels")))
+    graded = grade(docs.select(*COLUMNS), fitted(docs, table(spark, sf_dir, "labels")))
     return graded.where("keep").select(*COLUMNS)
 
 
