@@ -39,10 +39,15 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def arrow_stage(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 512) -> DataFrame:
-    """``mapInArrow`` with batches small enough that very long texts stay in bounded memory."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(each, schema)
+    """``mapInArrow`` in batches of at most ``rows`` rows. Spark bounds the bytes of what it sends (64 MB, or a row); this
+    bounds what a stage turns into Python objects at once, and leaves the session's settings alone."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+
+    return df.mapInArrow(lambda batches: each(sliced(batches)), schema)
 
 
 def empty_for_null(name: str):

@@ -1,17 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the texts writes them as numbers of the benchmark's words, for the documents that hold enough of these
-   somewhere, and counts the words' document frequencies over the whole corpus, which give the TF-IDF weights.
-2. A randomised SVD of TF-IDF passages finds ``RANK`` latent directions: each task adds up its passages' part of
-   A'(A G), the parts are summed by term, and the driver (terms x RANK numbers, terms bounded by the block of
-   benchmark items) orthonormalises and repeats. It is fitted on the items' passages and on those of a bounded sample of
-   about ``FIT_DOCS`` documents.
-3. Every document is searched whole, in windows of ``WINDOW`` words, ``STRIDE`` apart, against every passage of each
-   item. Two bounds leave windows out before they are projected: one that holds fewer of the benchmark's words than the fullest
-   window of a stretch in which an item reaches ``loose`` must, and one whose words weigh too little for a cosine of ``COSINE``
-   with any passage. The others are projected; passages with that cosine or more are candidates, where the stretch holds as many
-   of the item's words as ``loose`` asks for.
-4. The longest common subsequence of an item's words and the stretch where it would lie decides: ``strict`` of the item's words,
+1. One pass over the texts writes them as numbers of the benchmark's words and counts the words' document frequencies over the
+   whole corpus, which give the TF-IDF weights. Documents without a window that is dense enough in these words (``density``) fall away.
+2. A place can only be reported if ``loose`` of an item's words are in the stretch where the item would lie. So of any n - need + t of
+   its n words at least t are there; with the rarest ones this leaves few places. Windows of ``WINDOW`` words, ``STRIDE`` apart, around
+   them are the passages that the next steps work on (``near``, written).
+3. A randomised SVD of the TF-IDF passages finds ``RANK`` latent directions: each task adds up its passages' part of A'(A G), the parts
+   are summed by term, and the driver (terms x RANK numbers, terms bounded by the block of benchmark items) orthonormalises and
+   repeats. It is fitted on the items' passages and on all of step 2, each word once.
+4. All windows of step 2 are projected and compared with every passage of each item; those with a cosine of ``COSINE`` are candidates.
+5. The longest common subsequence of an item's words and the stretch decides: ``strict`` of the item's words,
    or ``loose`` of them if the answer, the item's last words, is there as well.
 
 Benchmarks of any size are taken in blocks of ``BLOCK`` items; each block is broadcast, its size being bounded.
@@ -23,6 +21,7 @@ reported each; empty tables give an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_stage, cut, drop_cut, table
 
-RANK, ROUNDS, FIT_DOCS, FIT_SHARE = 192, 2, 1024, 0.5
+RANK, ROUNDS = 192, 2
+#: Windows that a task of the fit adds up, and numbers that a step of the search holds at once.
+FIT_WINDOWS, HELD = 500_000, 4_000_000
 WINDOW, STRIDE, COSINE = 12, 4, 0.65
 BLOCK, SHORTEST, ANSWER = 2048, 8, 5
 WORD = re.compile(r"\w+")
@@ -92,6 +93,47 @@ def density(items: Items, share: float) -> float:
     return least
 
 
+class Anchors:
+    """For each word the items that have it among their rarest, and how many of these a stretch of an item has at least."""
+
+    def __init__(self, items: Items, df: np.ndarray, share: float):
+        of_word: list[list[int]] = [[] for _ in items.vocab]
+        least, reach = [], []
+        for k, words in enumerate(items.words):
+            terms = [items.vocab[w] for w in words]
+            n, need = len(terms), math.ceil(share * len(terms) - 1e-9)
+            least.append(max(1, n // 4))
+            reach.append(n + 2 * slack_of(n))
+            rarest = sorted(range(n), key=lambda i: (df[terms[i]], terms[i], i))[: n - need + least[-1]]
+            for t in {terms[i] for i in rarest}:
+                of_word[t].append(k)
+        self.count = np.array([*map(len, of_word), 0])  # the last: no term
+        self.begin = np.concatenate(([0], np.cumsum(self.count)))[:-1]
+        self.items = np.array([k for own in of_word for k in own], dtype=np.int64)
+        self.least, self.reach = np.array(least), np.array(reach)
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Starts of the windows around the places where some item's stretch can be."""
+        n = len(terms)
+        at = np.flatnonzero(self.count[terms])
+        many = self.count[terms[at]]
+        place = np.repeat(at, many)
+        item = self.items[np.repeat(self.begin[terms[at]] - np.cumsum(many) + many, many) + np.arange(len(place))]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        last = np.arange(len(place)) + self.least[item] - 1
+        inside = last < len(place)
+        last = np.minimum(last, len(place) - 1)
+        inside &= (item[last] == item) & (place[last] - place < self.reach[item])
+        if not inside.any():
+            return np.zeros(0, np.int64)
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, np.maximum(0, place[last][inside] - self.reach[item[inside]]), 1)
+        np.add.at(edge, np.minimum(n, place[inside] + self.reach[item[inside]]), -1)
+        starts = windows(terms, 0.0)
+        return starts[np.cumsum(edge)[starts] > 0]
+
+
 def numbered(words: list[str], vocab: dict[str, int]) -> np.ndarray:
     get = vocab.get
     return np.array([get(w, -1) for w in words], dtype=np.int64)
@@ -164,44 +206,71 @@ def term_arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def latent(held: DataFrame, items: Items, idf: np.ndarray, n_docs: int, rank: int = RANK) -> np.ndarray:
-    """The right singular vectors, weighted: terms + 1 rows (the last is zero) of ``rank`` numbers."""
+def near_places(held: DataFrame, items: Items, df: np.ndarray, loose: float) -> DataFrame:
+    """doc_id, terms, starts of the documents with windows that can belong to an item; written."""
+    shared = held.sparkSession.sparkContext.broadcast(Anchors(items, df, loose))  # BLOCK items at most
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors = shared.value
+        for batch in batches:
+            starts = [anchors.places(t) for t in term_arrays(batch.column(1))]
+            some = np.flatnonzero([len(x) for x in starts])
+            if len(some):
+                kept = batch.take(pa.array(some))
+                yield pa.record_batch([kept.column(0), kept.column(1), pa.array([starts[i] for i in some], pa.list_(pa.int32()))], ["doc_id", "terms", "starts"])
+
+    return cut(arrow_stage(held, each, "doc_id long, terms array<int>, starts array<int>", rows=256), "near")
+
+
+def latent(near: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors, weighted: terms + 1 rows (the last is zero) of ``rank`` numbers."""
     rng = np.random.default_rng(5)
     terms = len(items.vocab)
     rank = min(rank, terms)
     basis = rng.standard_normal((terms, rank))
-    own = items.matrix()
-    weights = np.append(idf, 0.0)
-    # of the fit alone: found by as many tasks as the table has, written, and from then on a table of a bounded size
-    some = cut(held.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // FIT_DOCS))) == 0).select("terms"), "fit")
-
-    def product(matrix: np.ndarray, g: np.ndarray) -> np.ndarray:
-        y = (np.append(g, np.zeros((1, g.shape[1])), axis=0) * weights[:, None])[matrix].sum(axis=1)
-        out = np.zeros((terms + 1, g.shape[1]))
-        np.add.at(out, matrix.ravel(), np.repeat(y, WINDOW, axis=0))
-        return out[:-1] * idf[:, None]
+    spark, own = near.sparkSession, items.matrix()
+    n = near.agg(F.sum(F.size("starts"))).first()[0] or 0
+
+    def product(matrices: Iterator[np.ndarray], g: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A'(A g), with A's rows the weighted words of each passage."""
+        g, out = np.append(g * weights[:, None], np.zeros((1, g.shape[1])), axis=0), np.zeros((len(g) + 1, g.shape[1]))
+        for matrix in matrices:
+            for k in range(0, len(matrix), 512):
+                part = matrix[k : k + 512]
+                y = g[part].sum(axis=1)
+                flat = part.ravel()
+                order = np.argsort(flat, kind="stable")
+                change = np.flatnonzero(np.diff(flat[order], prepend=-2))
+                out[flat[order][change]] += np.add.reduceat(y[order // WINDOW], change, axis=0)
+        return out[:-1] * weights[:, None]
 
     for _ in range(ROUNDS):
         basis, _ = np.linalg.qr(basis)
-        g = basis
+        shared = spark.sparkContext.broadcast((basis, idf))  # terms x RANK numbers
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((terms, g.shape[1]))
-            for batch in batches:
-                for t in term_arrays(batch.column(0)):
-                    starts = windows(t, FIT_SHARE)[::4]
-                    if len(starts):
-                        total += product(gathered(t, starts), g)
-            yield pa.record_batch([pa.array(np.repeat(np.arange(terms), g.shape[1])), pa.array(np.tile(np.arange(g.shape[1]), terms)), pa.array(total.ravel())], ["term", "dim", "x"])
-
-        got = arrow_stage(some.coalesce(3), each, "term long, dim long, x double").groupBy("term", "dim").agg(F.sum("x").alias("x")).toArrow()
-        basis = product(own, g)
+            g, weights = shared.value  # noqa: B023
+            every = (gathered(t, apart(at)) for b in batches for t, at in zip(term_arrays(b.column(0)), term_arrays(b.column(1))))
+            total = product(every, g, weights)
+            some = np.flatnonzero(total.any(axis=1))
+            dims = g.shape[1]
+            yield pa.record_batch([pa.array(np.repeat(some, dims).astype(np.int32)), pa.array(np.tile(np.arange(dims, dtype=np.int32), len(some))), pa.array(total[some].ravel())], ["term", "dim", "x"])
+
+        parts = arrow_stage(near.select("terms", "starts").coalesce(-(-n // FIT_WINDOWS) + 2), each, "term int, dim int, x double")
+        got = parts.groupBy("term", "dim").agg(F.sum("x").cast("float").alias("x")).toArrow()  # terms x RANK rows
+        basis = product(iter([own]), basis, idf)
         np.add.at(basis, (got["term"].to_numpy(), got["dim"].to_numpy()), got["x"].to_numpy())
-    drop_cut(some)
+        del got
+        shared.destroy()
     basis, _ = np.linalg.qr(basis)
     return np.append(basis * idf[:, None], np.zeros((1, rank)), axis=0).astype(np.float32)
 
 
+def apart(starts: np.ndarray) -> np.ndarray:
+    """Of windows that overlap, those that lie side by side, so that each word is in one of them."""
+    return starts[starts // STRIDE % (WINDOW // STRIDE) == 0]
+
+
 def judge(item: list, words: list, at: int, offset: int) -> tuple[float, float, int, int]:
     """Shares of the item's words and of its answer's in the stretch where the item would lie; the stretch."""
     slack = slack_of(len(item))
@@ -211,16 +280,14 @@ def judge(item: list, words: list, at: int, offset: int) -> tuple[float, float,
     return lcs(item, part) / len(item), lcs(answer, part[-(ANSWER + 2 * slack + STRIDE) :]) / len(answer), low, high
 
 
-def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
-    weight = np.append(idf**2, 0.0)
-    norms = np.sqrt(weight[items.matrix()].sum(axis=1))
+def search(near: DataFrame, items: Items, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
     passages = project(items.matrix(), basis)
-    floor, least = (COSINE * norms.min()) ** 2, density(items, loose)
-    shared = held.sparkSession.sparkContext.broadcast((items, basis, passages, items.passages, weight, floor))  # BLOCK items at most
+    shared = near.sparkSession.sparkContext.broadcast((items, basis, passages, items.passages))  # BLOCK items at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, basis, passages, places, weight, floor = shared.value
+        items, basis, passages, places = shared.value
         owner, offset = np.array(places).T
+        step = max(1, HELD // max(len(passages), WINDOW * basis.shape[1]))
         wanted: list[list[int]] = []
         member = np.zeros((len(items.words), len(items.vocab) + 1), dtype=bool)  # the last column: no term
         for k, w in enumerate(items.words):
@@ -228,18 +295,15 @@ def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
             member[k, wanted[-1]] = True
         for batch in batches:
             out = []
-            for doc, terms in zip(batch.column(0).to_pylist(), term_arrays(batch.column(1))):
-                starts = windows(terms, least)
-                weights = np.concatenate(([0.0], np.cumsum(weight[terms])))
-                starts = starts[weights[np.minimum(starts + WINDOW, len(terms))] - weights[starts] >= floor]
-                words = terms.tolist() if len(starts) else []
+            for doc, terms, starts in zip(batch.column(0).to_pylist(), term_arrays(batch.column(1)), term_arrays(batch.column(2))):
+                words = terms.tolist()
                 best: dict[int, tuple] = {}
-                for k in range(0, len(starts), 2048):
-                    part = gathered(terms, starts[k : k + 2048])
-                    near = project(part, basis) @ passages.T
-                    r, c = np.nonzero(near >= COSINE)
+                for k in range(0, len(starts), step):
+                    part = gathered(terms, starts[k : k + step])
+                    cosines = project(part, basis) @ passages.T
+                    r, c = np.nonzero(cosines >= COSINE)
                     place = (starts[k + r] - offset[c]) // STRIDE
-                    order = np.lexsort((-near[r, c], place, owner[c]))
+                    order = np.lexsort((-cosines[r, c], place, owner[c]))
                     seen = None
                     for i in order.tolist():
                         item, at = int(owner[c[i]]), int(place[i])
@@ -253,13 +317,13 @@ def search(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, st
                             continue
                         share, answer, low, high = judge(wanted[item], words, centre, 0)
                         if share >= strict or share >= loose and answer >= 0.8:
-                            best[item] = max(best.get(item, (0.0,)), (share, answer, float(near[r[i], c[i]]), low, high))
+                            best[item] = max(best.get(item, (0.0,)), (share, answer, float(cosines[r[i], c[i]]), low, high))
                 out += [(doc, items.ids[i], *v) for i, v in sorted(best.items())]
             if out:
                 doc, item, share, answer, cosine, low, high = zip(*out)
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(share), pa.array(answer), pa.array(cosine), pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["doc_id", "item_id", "lcs_share", "answer_share", "cosine", "first_word", "end_word"])
 
-    return arrow_stage(held, each, "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long", rows=256)
+    return arrow_stage(near, each, "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long", rows=256)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, strict: float = 0.8, loose: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,9 +338,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, strict: float = 0.8, loose: flo
         if items.passages:
             held = numbered_docs(rows, items.vocab, density(items, loose))
             df, n = frequencies(held, items.vocab)
-            idf = np.log1p(max(1, n) / (df + 1.0))
-            held = held.where("terms IS NOT NULL").select("doc_id", "terms")
-            found = search(held, items, idf, latent(held, items, idf, n), strict, loose)
+            near = near_places(held.where("terms IS NOT NULL").select("doc_id", "terms"), items, df, loose)
+            drop_cut(held)
+            found = search(near, items, latent(near, items, np.log1p(max(1, n) / (df + 1.0))), strict, loose)
             out = found if out is None else out.union(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, lcs_share double, answer_share double, cosine double, first_word long, end_word long")
