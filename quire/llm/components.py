@@ -7,35 +7,42 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
 
+#: A node with more neighbours than this, and than the HUB-th part of all edges, gets its new neighbour by a broadcast.
+CROWDED, HUB = 1_000, 1_000
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node`` and ``root``, the smallest node reachable, for every node of ``edges`` (a, b: longs).
+
+def pointed(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v) joined with ``least`` (u, m, n). Hubs, of which there are 2 * HUB at most, are joined by a broadcast, so
+    their neighbours stay where they are."""
+    hubs = F.broadcast(least.where(F.col("n") > max(CROWDED, n // HUB)).select("u", "m"))
+    return rows.join(hubs, "u").unionByName(rows.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
+def settled(edges: DataFrame) -> bool:
+    """Is each tree a star: no node below another has a node below itself, or two above?"""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the smallest node reachable, for every node of ``edges`` (a, b: longs); a view of one written table.
 
     Each round is one large-star and one small-star step (Kiveris et al. 2014). They keep connectivity and make every
     tree a star in a number of rounds that grows with the logarithm of its size; both are
-    plain aggregations and joins on the node, so a hub of many neighbours is met by a combined minimum and
-    never gathered in one row. Each round is written to the shared folder.
+    plain aggregations and joins on the node. A hub of many neighbours is met by a combined minimum and a broadcast, and
+    never gathered in one task. Each round is written to the shared folder, where the next replaces it.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now = cut(pairs, "edges")
-    before = None
-    for _ in range(max_rounds):
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    while not settled(now):
+        n = now.count()
         # large star: neighbours above u go to the least of u and its neighbours
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = pointed(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below u, and u itself, go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = cut(after, "edges")
-        state = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if before is not None:
-            drop_cut(now)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = pointed(large, low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop_cut(now)
         now = after
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

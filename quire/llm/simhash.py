@@ -2,7 +2,8 @@
 
 Fingerprints: 64 bits over hashed word shingles. Two fingerprints link at ``bits`` or fewer differing bits. The 64 bits
 are cut into ``segments`` equal ones, set in a ring. By the pigeonring principle two linked fingerprints have a
-start from which every chain of l consecutive segments differs in at most l * bits / segments bits altogether. Chains so
+start from which every chain of l consecutive segments differs in at most l * bits / segments bits altogether. The number of
+segments grows with the number of fingerprints (``segments_for``), and with it the key. Chains so
 short that this bound is below one must be equal: they are the key on which candidates meet. Longer chains are checked
 next, and only what passes all of them gets the full Hamming check.
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_stage, cut, free_name, table
+from .common import arrow_stage, cut, drop_cut, free_name, table
 from .components import components
 
 #: Bit counts of each byte's values, most significant bit first.
@@ -128,14 +129,25 @@ def crowded_links(classes: DataFrame, bits: int) -> DataFrame:
     return stars
 
 
-def grouped(docs: DataFrame, words: int = 3, bits: int = 2, segments: int = 8, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def segments_for(classes: int, bits: int, crowd: int) -> int:
+    """So many that a key, whose length grows with them, is shared by an eighth of ``crowd`` chance classes at most, if 64 are enough for that."""
+    for segments in (8, 16, 32):
+        exact = -(-segments // max(1, bits)) - 1
+        if classes * 8 <= crowd << exact * 64 // segments:
+            return segments
+    return 64
+
+
+def grouped(docs: DataFrame, words: int = 3, bits: int = 2, segments: int | None = None, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The fingerprints of every row; and fp, first (the smallest id), root (the smallest fingerprint reachable) of each class."""
     prints = cut(fingerprints(docs, words, id_col, text_col), "prints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = links(classes.select("fp"), bits, segments, crowd)
+    edges = links(classes.select("fp"), bits, segments or segments_for(classes.count(), bits, crowd), crowd)
     # components are found over fingerprints, then named by the smallest id in them
     rooted = components(edges)
-    return prints, cut(classes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+    named = cut(classes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+    drop_cut(rooted)
+    return prints, named
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
