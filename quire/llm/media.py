@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +27,8 @@ from .common import arrow_stage, table
 
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, TIME_SCALE = 0xE7, 0xA3, 0xA0, 0xA1, 0x2AD7B1
-TRACK_ENTRY, TRACK_NUMBER, CODEC = 0xAE, 0xD7, 0x86
+TRACK_ENTRY, TRACK_NUMBER, CODEC, DEFAULT_DURATION = 0xAE, 0xD7, 0x86, 0x23E383
+AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that may stand right below a segment: they end a cluster of unknown size.
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367, SEGMENT, EBML}
@@ -78,22 +79,31 @@ def read_vint(buf: bytes, at: int, end: int) -> tuple[int, int]:
     return int.from_bytes(buf[at : at + w], "big") & ((1 << (7 * w)) - 1), w
 
 
+def head(buf: bytes, at: int, end: int) -> tuple[int, int, int | None] | None:
+    """Id, place of the data and size (None: unknown) of the element at ``at``; None if it is cut short."""
+    w = 9 - buf[at].bit_length()
+    if w > 4 or at + w >= end:
+        return None
+    try:
+        size, sw = read_vint(buf, at + w, end)
+    except ValueError:
+        return None
+    return int.from_bytes(buf[at : at + w], "big"), at + w + sw, None if size == (1 << (7 * sw)) - 1 else size
+
+
+def cluster_end(buf: bytes, at: int, end: int) -> int:
+    """Where a cluster of unknown size ends: before the first element that cannot stand inside."""
+    while at < end and (got := head(buf, at, end)) is not None and got[0] not in TOP:
+        at = end if got[2] is None else got[1] + got[2]
+    return min(at, end) if at >= end or got is not None else end
+
+
 def elements(buf: bytes, at: int, end: int) -> Iterator[Element]:
     """The elements in buf[at:end]; one cut short ends the walk."""
-    while at < end:
-        w = 9 - buf[at].bit_length()
-        if w > 4 or at + w >= end:
-            return
-        ident = int.from_bytes(buf[at : at + w], "big")
-        try:
-            size, sw = read_vint(buf, at + w, end)
-        except ValueError:
-            return
-        data = at + w + sw
-        if size == (1 << (7 * sw)) - 1:  # unknown: until something that cannot stand inside
-            stop = end
-            if ident == CLUSTER:
-                stop = next((x.start for x in elements(buf, data, end) if x.id in TOP), end)
+    while at < end and (got := head(buf, at, end)) is not None:
+        ident, data, size = got
+        if size is None:
+            stop = cluster_end(buf, data, end) if ident == CLUSTER else end
             yield Element(ident, at, data, stop, False)
             at = stop
         else:
@@ -101,6 +111,33 @@ def elements(buf: bytes, at: int, end: int) -> Iterator[Element]:
             at = data + size
 
 
+def number(buf: bytes, e: Element) -> int:
+    return int.from_bytes(buf[e.data : e.end], "big")
+
+
+def real(buf: bytes, e: Element) -> float:
+    """A float of 4 or 8 bytes; none, or of another width: 0."""
+    return struct.unpack({4: ">f", 8: ">d"}[e.end - e.data], buf[e.data : e.end])[0] if e.end - e.data in (4, 8) else 0.0
+
+
+def frame_times(buf: bytes, tracks: Element) -> dict[int, Callable[[int], float]]:
+    """For each track the nanoseconds that a frame of so many bytes lasts: its default duration, or what its PCM samples take; 0 where
+    neither is known."""
+    out: dict[int, Callable[[int], float]] = {}
+    for entry in elements(buf, tracks.data, tracks.end):
+        if entry.id != TRACK_ENTRY:
+            continue
+        own = {x.id: x for x in elements(buf, entry.data, entry.end)}
+        audio = {x.id: x for x in elements(buf, own[AUDIO].data, own[AUDIO].end)} if AUDIO in own else {}
+        lasts = number(buf, own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0
+        rate = real(buf, audio[SAMPLING]) if SAMPLING in audio else RATE
+        wide = (number(buf, audio[CHANNELS]) if CHANNELS in audio else 1) * (number(buf, audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0)
+        pcm = CODEC in own and buf[own[CODEC].data : own[CODEC].end].startswith(b"A_PCM") and rate > 0 and wide > 0
+        per_byte = 8e9 / (rate * wide) if pcm else 0.0
+        out[number(buf, own[TRACK_NUMBER]) if TRACK_NUMBER in own else 0] = (lambda size, d=lasts, b=per_byte: d or size * b)
+    return out
+
+
 def laces(buf: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     """Start and size of each frame of a block's data."""
     if kind == 0:
@@ -136,18 +173,20 @@ def laces(buf: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def read_media(buf: bytes, rate: int = RATE) -> tuple[list[Packet], list[tuple[int, int, int]]]:
-    """Packets in file order, and the cues as (time, track, byte of the cluster). A lace's later frames
-    follow its block's time by the samples before them."""
+    """Packets in file order, and the cues as (time, track, byte of the cluster). A lace's later frames follow its block's time by what
+    the frames before them last, as their track tells; ``rate``: samples a second, a byte each, of tracks that are not described."""
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     clusters = blocks = 0
     for top in elements(buf, 0, len(buf)):
         if top.id != SEGMENT:
             continue
-        scale = 1_000_000
+        scale, lasts = 1_000_000, {}
         for e in elements(buf, top.data, top.end):
             if e.id == INFO:
                 scale = next((int.from_bytes(buf[x.data : x.end], "big") for x in elements(buf, e.data, e.end) if x.id == TIME_SCALE), scale)
+            elif e.id == TRACKS:
+                lasts = frame_times(buf, e)
             elif e.id == CLUSTER:
                 base = 0
                 for x in elements(buf, e.data, e.end):
@@ -164,10 +203,10 @@ def read_media(buf: bytes, rate: int = RATE) -> tuple[list[Packet], list[tuple[i
                             frames = laces(buf, at + 3, b.end, flags >> 1 & 3)
                         except (ValueError, struct.error, IndexError):
                             continue
-                        time = base + shift
+                        time, passed = base + shift, 0.0
                         for start, size in frames:
-                            packets.append(Packet(track, time, start, size, bool(flags & 128), clusters, blocks))
-                            time += size * 1_000_000_000 // (rate * scale)
+                            packets.append(Packet(track, time + int(passed / scale + 1e-6), start, size, bool(flags & 128), clusters, blocks))
+                            passed += lasts[track](size) if track in lasts else size * 1e9 / rate
                         blocks += 1
                 clusters += 1
             elif e.id == CUES:
@@ -179,6 +218,11 @@ def read_media(buf: bytes, rate: int = RATE) -> tuple[list[Packet], list[tuple[i
     return packets, cues
 
 
+def seek(cues: list[tuple[int, int, int]], time: int, track: int | None = None) -> int:
+    """The byte of the last cluster that a cue places at or before ``time``; 0, the file's start, where none does."""
+    return max(((t, at) for t, own, at in cues if t <= time and track in (None, own)), default=(0, 0))[1]
+
+
 HEADER = element(EBML, element(0x4286, b"\1") + element(0x42F7, b"\1") + element(0x42F2, b"\4") + element(0x42F3, b"\x08") + element(0x4282, b"matroska") + element(0x4287, b"\4") + element(0x4285, b"\2"))
 TRACK = element(
     TRACKS,

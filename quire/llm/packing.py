@@ -34,6 +34,8 @@ from .common import arrow_stage, cut, table
 
 TERMS = 1 << 18
 K1, B = 1.2, 0.75
+#: Neighbours that a seed asks for at a time; it asks again when they are used.
+ASKED = 32
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Special tokens of the vocabulary. The library of its .json form reads their strings in texts as these ids by default.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -192,8 +194,9 @@ def fill(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, vocabu
         shard = Shard(rests, idf, mean, vocabulary, query_terms)
         used, following = np.zeros(len(rows), dtype=bool), 0
         queue: list[int] = []
+        seed: int | None = None  # of the open window
         while True:
-            queue = [i for i in queue if not used[i]]
+            queue = [i for i in queue if not used[i]] or (shard.neighbours(seed, used, ASKED) if seed is not None else [])
             if queue:
                 i = queue.pop(0)
             else:
@@ -201,8 +204,7 @@ def fill(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, vocabu
                     following += 1
                 if following == len(rows):
                     break
-                i = following
-                queue = shard.neighbours(i, used, 32)
+                i = seed = following
             used[i] = True
             r, ids = rows[i], rests[i]
             base, at = r["doc_tokens"] - len(ids), 0
@@ -214,7 +216,7 @@ def fill(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float, vocabu
                 used_room += take
                 if used_room == window:
                     number, used_room = number + 1, 0
-                    queue = shard.neighbours(i, used, 32) if at < len(ids) else []
+                    queue, seed = [], i if at < len(ids) else None
         if len(out) > 4096:
             yield emit()
     if out:

@@ -43,3 +43,18 @@ def test_rows_without_an_id_stay(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
     assert kept.columns == docs.columns and [r.text[:7] for r in kept.where("doc_id IS NULL").collect()] == ["null id"]
+
+
+def test_documents_without_an_id_are_decontaminated(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, "before " + item + " after", "en", "s", 1), (None, "clean words " * 30, "en", "s", 1), (4, item, "en", "s", 1), (4, "other clean words " * 30, "en", "s", 1), (5, None, "en", "s", 1)]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL)
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(0, "clean"), (4, "other"), (5, "")]
+
+
+def test_empty_table(spark, empty):
+    docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() == 0
+        docs = out if name != "packing" else docs
