@@ -1,6 +1,12 @@
 """A corpus pipeline of five stages: quality, near-duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Edge cases. Null and empty texts, and those without words, go with the quality stage; without labelled documents of two grades it keeps
+the others. Documents with null ids pass all stages like others: copies and contaminated texts are told by the text. Rows with one
+id and different texts are documents of their own; repeated rows are copies. Very long texts are read whole. Where two
+documents of a group have the same id, the one with the lower hash of its text stays. An empty table gives an empty result with
+the stage's columns. Further columns of the input, whatever their names, are dropped by each stage.
 """
 
 from __future__ import annotations
@@ -8,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, free_name, table
+from quire.llm.common import cut, drop_cut, free_name, table
 from quire.llm.decontaminate import leaks
 from quire.llm.packing import pack
 from quire.llm.pii import redact
@@ -63,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
