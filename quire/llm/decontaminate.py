@@ -102,7 +102,7 @@ class Anchors:
         for k, words in enumerate(items.words):
             terms = [items.vocab[w] for w in words]
             n, need = len(terms), math.ceil(share * len(terms) - 1e-9)
-            least.append(max(1, n // 4))
+            least.append(max(1, n // 3))
             reach.append(n + 2 * slack_of(n))
             rarest = sorted(range(n), key=lambda i: (df[terms[i]], terms[i], i))[: n - need + least[-1]]
             for t in {terms[i] for i in rarest}:
@@ -280,44 +280,67 @@ def judge(item: list, words: list, at: int, offset: int) -> tuple[float, float,
     return lcs(item, part) / len(item), lcs(answer, part[-(ANSWER + 2 * slack + STRIDE) :]) / len(answer), low, high
 
 
+class Bounds:
+    """What the words of a stretch, in any order, leave possible for an item."""
+
+    def __init__(self, items: Items, strict: float, loose: float):
+        self.wanted = [[items.vocab[x] for x in w] for w in items.words]
+        self.size = np.array([len(w) for w in self.wanted])
+        self.slack = np.array([slack_of(n) for n in self.size.tolist()])
+        self.times = np.zeros((len(self.wanted), len(items.vocab) + 1), dtype=np.uint8)  # of a word in an item; the last column: no term
+        self.answer = np.full((len(self.wanted), ANSWER), -2)
+        for k, w in enumerate(self.wanted):
+            np.add.at(self.times[k], w, 1)
+            self.answer[k, : len(w[-ANSWER:])] = w[-ANSWER:]
+        self.strict, self.loose = strict * self.size - 1e-9, loose * self.size - 1e-9
+
+    def possible(self, terms: np.ndarray, item: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        """Which places can pass? No common subsequence is longer than the item's words in the stretch, each as often as the item has it."""
+        out = np.zeros(len(item), dtype=bool)
+        width = int((self.size + 2 * self.slack).max())
+        for k in range(0, len(item), 8192):
+            own, low = item[k : k + 8192], (centre - self.slack[item])[k : k + 8192]
+            at = low[:, None] + np.arange(width)[None, :]
+            inside = (at >= 0) & (at < len(terms)) & (at < (low + self.size[own] + 2 * self.slack[own])[:, None])
+            part = np.sort(np.where(inside, terms[np.clip(at, 0, len(terms) - 1)], -1), axis=1)
+            first = np.diff(part, axis=1, prepend=-2) != 0
+            nth = np.arange(width)[None, :] - np.maximum.accumulate(np.where(first, np.arange(width)[None, :], 0), axis=1)
+            held = (nth < self.times[own[:, None], part]).sum(axis=1)
+            some = np.flatnonzero(held >= self.loose[own])
+            answer = self.answer[own[some]]
+            ends = (part[some][:, :, None] == answer[:, None, :]).any(axis=1).sum(axis=1) >= 0.8 * (answer >= 0).sum(axis=1)
+            out[k + some] = ends | (held[some] >= self.strict[own[some]])
+        return out
+
+
 def search(near: DataFrame, items: Items, basis: np.ndarray, strict: float, loose: float) -> DataFrame:
     passages = project(items.matrix(), basis)
-    shared = near.sparkSession.sparkContext.broadcast((items, basis, passages, items.passages))  # BLOCK items at most
+    shared = near.sparkSession.sparkContext.broadcast((items, basis, passages))  # BLOCK items at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, basis, passages, places = shared.value
-        owner, offset = np.array(places).T
+        items, basis, passages = shared.value
+        owner, offset = np.array(items.passages).T
         step = max(1, HELD // max(len(passages), WINDOW * basis.shape[1]))
-        wanted: list[list[int]] = []
-        member = np.zeros((len(items.words), len(items.vocab) + 1), dtype=bool)  # the last column: no term
-        for k, w in enumerate(items.words):
-            wanted.append([items.vocab[x] for x in w])
-            member[k, wanted[-1]] = True
+        bounds = Bounds(items, strict, loose)
         for batch in batches:
             out = []
             for doc, terms, starts in zip(batch.column(0).to_pylist(), term_arrays(batch.column(1)), term_arrays(batch.column(2))):
-                words = terms.tolist()
                 best: dict[int, tuple] = {}
+                words: list[int] = []
                 for k in range(0, len(starts), step):
-                    part = gathered(terms, starts[k : k + step])
-                    cosines = project(part, basis) @ passages.T
+                    cosines = project(gathered(terms, starts[k : k + step]), basis) @ passages.T
                     r, c = np.nonzero(cosines >= COSINE)
-                    place = (starts[k + r] - offset[c]) // STRIDE
-                    order = np.lexsort((-cosines[r, c], place, owner[c]))
-                    seen = None
-                    for i in order.tolist():
-                        item, at = int(owner[c[i]]), int(place[i])
-                        if seen == (item, at):
-                            continue
-                        seen = (item, at)
-                        # no common subsequence is longer than the item's words in the stretch
-                        n, centre = len(wanted[item]), at * STRIDE + STRIDE // 2
-                        low, high = max(0, centre - slack_of(n)), max(0, centre + n + slack_of(n))
-                        if member[item, terms[low:high]].sum() < loose * n:
-                            continue
-                        share, answer, low, high = judge(wanted[item], words, centre, 0)
+                    item, place, cosine = owner[c], (starts[k + r] - offset[c]) // STRIDE, cosines[r, c]
+                    order = np.lexsort((-cosine, place, item))
+                    item, place, cosine = item[order], place[order], cosine[order]
+                    first = (np.diff(item, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0)
+                    item, centre, cosine = item[first], place[first] * STRIDE + STRIDE // 2, cosine[first]
+                    for i in np.flatnonzero(bounds.possible(terms, item, centre)).tolist():
+                        own = int(item[i])
+                        words = words or terms.tolist()
+                        share, answer, low, high = judge(bounds.wanted[own], words, int(centre[i]), 0)
                         if share >= strict or share >= loose and answer >= 0.8:
-                            best[item] = max(best.get(item, (0.0,)), (share, answer, float(cosines[r[i], c[i]]), low, high))
+                            best[own] = max(best.get(own, (0.0,)), (share, answer, float(cosine[i]), low, high))
                 out += [(doc, items.ids[i], *v) for i, v in sorted(best.items())]
             if out:
                 doc, item, share, answer, cosine, low, high = zip(*out)
