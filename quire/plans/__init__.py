@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills quire.registry."""
 
-from . import decisions, evaluation, fusion, pages, printing, sequences, typesetting  # noqa: F401
+from . import checking, decisions, evaluation, fusion, pages, printing, sequences, typesetting  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -72,17 +73,26 @@ def quote_faults(text: str) -> list[tuple[int, str]]:
     return sorted(out + [(i, "not closed") for i, _ in stack])
 
 
+# Words that open with an apostrophe.
+ELIDED = ("t", "k", "n", "s", "m", "r", "em", "tis", "twas", "twere", "twill", "til", "cause")
+
+
 def curled(text: str) -> str:
-    """Straight double quotes turned: opening after a blank, a dash or an opening bracket, else closing."""
-    out = []
-    for i, x in enumerate(text):
-        if x == '"':
-            out.append("“" if i == 0 or text[i - 1].isspace() or text[i - 1] in "(—–[" else "”")
-        elif x == "'":
-            out.append("‘" if (i == 0 or text[i - 1].isspace()) and i + 1 < len(text) and text[i + 1].isalpha() else "’")
-        else:
-            out.append(x)
-    return "".join(out)
+    """Straight marks turned: opening after a blank, a dash or an opening bracket, else closing. An apostrophe that opens an elided
+    word closes; feet and inches after a number, and marks between blanks, stay straight."""
+    padded = f" {text} "
+
+    def one(i: int) -> str:
+        mark, before, after = padded[i], padded[i - 1], padded[i + 1]
+        opens = before.isspace() or before in "(—–[“‘"
+        if before.isdigit() and not after.isalnum() or before.isspace() and after.isspace():
+            return mark
+        if mark == '"':
+            return "“" if opens else "”"
+        word = re.match(r"\w*", padded[i + 1 :])[0].lower()
+        return "‘" if opens and word and word not in ELIDED else "’"
+
+    return "".join(one(i) if padded[i] in "\"'" else padded[i] for i in range(1, len(padded) - 1))
 
 
 @query()

@@ -3,6 +3,7 @@ import zipfile
 from io import BytesIO
 
 import pytest
+from pyspark.sql import functions as F
 
 
 from quire.functions.align import Align, distance, lcs_length, opcodes, partial_ratio, ratio
@@ -39,19 +40,20 @@ def test_kinds_of_error(spark):
     cases = [
         ("", "a", "missing words", "missing text"), ("a", "", "extra words", "extra text"), ("ab", "a b", "word breaks", "glued or split words"), ("„ja”", "'ja'", "quotes", "quote glyph"),
         ("ja.", "ja,", "punctuation", "punctuation swapped"), ("rat", "cat", "letters", "letters misread"), ("a cat", "cat", "words", "words"), ("Cat", "cat", "letters", "case"),
-        ("zijn", "zíjn", "letters", "stress accent"), ("geeerd", "geëerd", "letters", "words"), ("reeel", "reeël", "letters", "diaeresis"), ("a-b", "ab", "punctuation", "compound hyphen"), ("a–b", "a —b", "punctuation", "dash"),
+        ("zijn", "zíjn", "letters", "stress accent"), ("geeerd", "geëerd", "letters", "diaeresis"), ("in . . . Oh", "in ... Oh", "word breaks", "glued or split words"), ("in ... Oh", "in... Oh", "word breaks", "dash or dot spacing"), ("wat? ja", "wat ja", "punctuation", "punctuation swapped"), ("reeel", "reeël", "letters", "diaeresis"), ("a-b", "ab", "punctuation", "compound hyphen"), ("a–b", "a —b", "punctuation", "punctuation swapped"), ("a–b", "a—b", "punctuation", "dash"), ("ja...", "ja.", "punctuation", "dots and stops"), ("‘ja", "ja", "quotes", "quote missing or extra"), ("é", "ë", "letters", "other accent"),
     ]
     df = spark.createDataFrame([c[:2] for c in cases], "got string, want string")
     got = df.select(category("got", "want"), cause("got", "want")).collect()
     for case, row in zip(cases, got):
         assert row[0] == case[2], case
-        if case[3] not in ("words", "dash"):
-            assert row[1] == case[3], case
+        assert row[1] == case[3], case
 
 
 def test_text_folds(spark):
     df = spark.createDataFrame([("„Ja” – nee . . . x²­",)], "t string")
     assert df.select(normalise("t")).first()[0] == '"Ja" — nee ... x2'
+    df = spark.createDataFrame([("a . . b",), ("a . . . . b",), ("ground!” ’ ‘ “Two",), ("1⁄2",)], "t string")
+    assert [r[0] for r in df.select(normalise("t")).collect()] == ["a . . b", "a .... b", "ground!\"' '\"Two", "1/2"]
     df = spark.createDataFrame([("~~ ^| 3x4 ok",), ("a normal line.",), ("",)], "t string")
     assert [r[0] for r in df.select(garbled("t")).collect()] == [True, False, False]
     df = spark.createDataFrame([("één", "een"), ("a b", "ab"), ("A", "a"), ("'a'", "a"), ("x", "y")], "a string, b string")
@@ -98,7 +100,8 @@ def test_hyphens(spark):
 
 
 def test_quotes():
-    assert curled('"Ja", zei \'t \'kind\'.') == "“Ja”, zei ‘t ‘kind’."
+    assert curled('"Ja", zei \'t \'kind\'.') == "“Ja”, zei ’t ‘kind’."
+    assert curled("6' 2\" tall, a \" b and 'tis") == "6' 2\" tall, a \" b and ’tis"
     assert quote_faults("“a “b”") == [(0, "not closed")] and quote_faults("a”") == [(1, "not opened")] and quote_faults("it’s “ok”") == []
 
 
@@ -178,3 +181,31 @@ def test_build_diff_reads_whole_documents(spark, tmp_path):
     finally:
         t.block_diff = whole
     assert seen == [99]
+
+
+def test_what_a_version_only_misreads(spark):
+    from quire.functions import readings as R
+
+    cases = [
+        ("huis", "buis"), ("bet", "het"), ("dijk", "duk"), ("ijsdijk", "ijsdiik"), ("dijk", "dak"), ("voor", "vóor"), ("voor", "vóór"), ("née", "nee"), ("so", "s~o"), ("stem,", "stem."), ("stem", "stem."), ("stem;", "stem."),
+    ]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(cases)], "i int, ours string, version string")
+    got = df.select("i", R.b_for_h("ours", "version"), R.ij_misread("ours", "version"), R.brings(R.half_accented, "ours", "version"), R.brings(R.unprinted, "ours", "version"), R.stop_for_comma("ours", "version", F.lit("‘dat")))
+    want = {0: [1], 2: [2], 3: [2], 5: [3], 8: [4], 9: [5], 10: [5]}
+    assert {r[0]: [k for k in range(1, 6) if r[k]] for r in got.collect() if any(r[1:])} == want
+
+
+def test_lines_and_labels(spark):
+    from quire.functions import readings as R
+
+    df = spark.createDataFrame([("* * *",), ("⁂",), ("**",), ("a * *",), ("",)], "t string")
+    assert [r[0] for r in df.select(R.scene_break("t")).collect()] == [True, True, False, False, False]
+    df = spark.createDataFrame([(None, "de"), ("so.", "de"), ("so", "de"), ("so", "De"), ("so ”  ", "de")], "a string, t string")
+    assert [r[0] for r in df.select(R.starts_paragraph("a", "t")).collect()] == [True, True, False, True, True]
+    df = spark.createDataFrame([(9, 2), (9, 9), (9, None)], "n int, o int")
+    assert [r[0] for r in df.select(R.page_label("n", "o")).collect()] == ["PDF page 9 (the page prints 7)", "PDF page 9 (the page prints no number)", "PDF page 9 (the page prints no number)"]
+    df = spark.createDataFrame([(20,), (89,), (3600,), (7500,)], "s int")
+    assert [r[0] for r in df.select(R.duration("s")).collect()] == ["under a minute", "1 min", "1 h 00 min", "2 h 05 min"]
+    df = spark.createDataFrame([("ﬁn , de ﬂuit . . . Щука",)], "t string")
+    assert df.select(R.tidied("t"), R.latin("t"), R.strokes("t")).first()[0] == "fin, de fluit . . . Щука"
+    assert df.select(R.latin("t")).first()[0].endswith("Schuka")
