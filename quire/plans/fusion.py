@@ -120,7 +120,7 @@ def language_by_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(rows: DataFrame) -> DataFrame:
     """Features of each version of a line, for the arbiter."""
-    n = F.length("text")
+    n = F.length("reading")
     return rows.select(
         "source", "doc_id", "line", "reader", (F.col("reading") == F.col("text")).cast("double").alias("label"),
         F.length("reading").cast("double").alias("f_length"), word_count("reading").cast("double").alias("f_words"),
@@ -132,21 +132,25 @@ def features(rows: DataFrame) -> DataFrame:
 
 @query()
 def arbiter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees over versions, trained on other books, normalised within a line and calibrated by logistic regression on log-odds."""
+    """Boosted trees over versions, trained on other books, normalised within a line and calibrated by logistic regression on log-odds.
+    Books are dealt into three folds, and each is scored by a model that the second has trained and the third calibrated."""
     rows = features(read(spark, sf_dir))
     names = [x for x in rows.columns if x.startswith("f_")]
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     fold = F.pmod(F.xxhash64("source"), F.lit(3))
-    model = GBTClassifier(maxDepth=3, maxIter=8, seed=1).fit(ready.where(fold == 0))
     p = vector_to_array("probability")[1]
-    held = model.transform(ready.where(fold == 1)).withColumn("p", p).drop("features", "probability", "rawPrediction", "prediction")
     odds = F.log(F.greatest(F.col("p"), F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
-    curve = LogisticRegression(featuresCol="odds_v").fit(VectorAssembler(inputCols=["odds"], outputCol="odds_v").transform(held.withColumn("odds", odds)))
-    a, b = float(curve.coefficients[0]), float(curve.intercept)
-    scored = model.transform(ready.where(fold == 2)).withColumn("p", p)
     w = Window.partitionBy("doc_id", "line")
-    calibrated = 1 / (1 + F.exp(-(a * odds + b)))
-    return scored.select("doc_id", "line", "reader", "label", calibrated.alias("chance"), (F.col("p") / F.greatest(F.sum("p").over(w), F.lit(1e-9))).alias("share"))
+    out = None
+    for k in range(3):
+        model = GBTClassifier(maxDepth=3, maxIter=8, seed=1).fit(ready.where(fold == (k + 1) % 3))
+        held = model.transform(ready.where(fold == (k + 2) % 3)).withColumn("p", p).drop("features", "probability", "rawPrediction", "prediction")
+        curve = LogisticRegression(featuresCol="odds_v").fit(VectorAssembler(inputCols=["odds"], outputCol="odds_v").transform(held.withColumn("odds", odds)))
+        calibrated = 1 / (1 + F.exp(-(float(curve.coefficients[0]) * odds + float(curve.intercept))))
+        scored = model.transform(ready.where(fold == k)).withColumn("p", p)
+        scored = scored.select("doc_id", "line", "reader", "label", calibrated.alias("chance"), (F.col("p") / F.greatest(F.sum("p").over(w), F.lit(1e-9))).alias("share"))
+        out = scored if out is None else out.union(scored)
+    return out
 
 
 @query()

@@ -45,6 +45,16 @@ def test_runs(spark, name):
     QUERIES[name](spark, SMALL).collect()
 
 
+def test_arbiter_scores_every_version(spark):
+    """Each line of every book is scored, its versions share one, and right versions have the higher chance."""
+    from quire.plans.fusion import read
+
+    got = QUERIES["arbiter_scores"](spark, SMALL).toPandas()
+    assert len(got) == read(spark, SMALL).count()
+    assert ((got.groupby(["doc_id", "line"])["share"].sum() - 1).abs() < 1e-6).all()
+    assert got[got["label"] == 1]["chance"].mean() > got[got["label"] == 0]["chance"].mean() + 0.2
+
+
 def test_bench_takes_the_queries_there_are():
     from bench import timed
 
