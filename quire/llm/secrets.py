@@ -121,7 +121,7 @@ def findings(n: int = FINDINGS, seed: int = 3) -> list[Finding]:
         return r.choice((
             lambda: some(40, hexes), lambda: some(40, hexes), lambda: some(32, hexes), lambda: some(64, hexes), lambda: some(r.randint(20, 64), alnum), lambda: some(40, hexes).upper(),
             lambda: "AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), lambda: "ghp_" + some(36, alnum), lambda: "sk_live_" + some(24, alnum), lambda: some(r.randint(20, 44), alnum + "+/") + "==",
-            lambda: some(r.randint(9, 18), alnum + "!#$%&*"), lambda: some(r.randint(100, 2400), alnum + "+/") + r.choice(("", "=", "==")), lambda: "eyJ" + ".".join(some(r.randint(30, 400), alnum + "_-") for _ in range(3)),
+            lambda: some(r.randint(9, 18), alnum + "!#$%&*"), lambda: some(r.randint(12, 24), hexes), lambda: some(r.randint(100, 2400), alnum + "+/") + r.choice(("", "=", "==")), lambda: "eyJ" + ".".join(some(r.randint(30, 400), alnum + "_-") for _ in range(3)),
             lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(64, alnum + "+/") for _ in range(r.randint(2, 20))) + "\n-----END PRIVATE KEY-----",
             lambda: "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(64, alnum + "+/") for _ in range(r.randint(2, 20))) + "\n-----END PRIVATE KEY-----",
         ))()
@@ -148,7 +148,7 @@ def findings(n: int = FINDINGS, seed: int = 3) -> list[Finding]:
             v = good()
             quote = "" if v.startswith("-----") or r.random() < 0.2 else '"'
             head = f'{r.choice(names)}{r.choice((" = ", "=", ": "))}{quote}{v}{quote}' if form < 0.9 or len(v) < 16 else f"{r.choice(names)} {v}"
-            head = r.choice((head, v, "key:\n" + v)) if v.startswith("-----") else head
+            head = r.choice((head, v, "key:\n" + v)) if v.startswith("-----") else v if PREFIX.match(v) and r.random() < 0.4 else head
         elif form < 0.3:
             v = r.choice((some(40, hexes), some(32, hexes), some(64, hexes), uuid()))
             head = f'{r.choice(other)}{r.choice((" = ", ": ", "="))}"{v}"' if r.random() < 0.6 else f"{r.choice(other)} {v}"
