@@ -198,14 +198,14 @@ def fit(rows: DataFrame, levels: int = 3, rounds: int = 50, lasso: float = 1e-4)
     names, n = np.flatnonzero(found[0] >= MIN_DOCS), found[2][0]
     del found
 
+    named = spark.sparkContext.broadcast(names.astype(np.int32))  # WIDTH numbers at most, as are a step's
+
     def slopes(x: np.ndarray) -> tuple[float, np.ndarray]:
-        weights = np.zeros(WIDTH, np.float32)
-        weights[names] = x[: len(names)]
-        free = x[len(names) :]
-        shared = spark.sparkContext.broadcast((weights, names, free))  # WIDTH numbers
+        shared = spark.sparkContext.broadcast((x[: len(names)].astype(np.float32), x[len(names) :]))
 
         def each(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-            weights, names, free = shared.value
+            (own, free), names, weights = shared.value, named.value, np.zeros(WIDTH, np.float32)
+            weights[names] = own
             loss, by_weight, by_free = part_of(Model(weights, thresholds_of(free)), free, parts)
             return [np.array([loss]), by_weight[names], by_free]
 
@@ -216,6 +216,7 @@ def fit(rows: DataFrame, levels: int = 3, rounds: int = 50, lasso: float = 1e-4)
     x, penalty = np.zeros(len(names) + levels - 1), np.full(len(names) + levels - 1, lasso * np.sqrt(PENALTY_ROWS / n))  # fewer rows leave more to chance
     x[len(names)], penalty[len(names) :] = -1.0, 0.0
     x = least(slopes, x, penalty, rounds)
+    named.destroy()
     weights = np.zeros(WIDTH, np.float32)
     weights[names] = x[: len(names)]
     return Model(weights, thresholds_of(x[len(names) :]))

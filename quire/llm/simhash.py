@@ -100,19 +100,28 @@ def ring_passes(start: str, x: str, bits: int, segments: int, exact: int) -> F.C
     return F.expr(" AND ".join([*tests, f"bit_count({x}) <= {bits}"]))
 
 
-def links(classes: DataFrame, bits: int = 2, segments: int = 8, crowd: int = 64) -> DataFrame:
-    """a, b: fingerprints that link, from distinct ones in ``fp``. Every link is there, or implied by others."""
-    if not bits:
-        return classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+def meetings(classes: DataFrame, bits: int, segments: int) -> tuple[DataFrame, int]:
+    """start, key, n, fp: the keys that n > 1 classes share, a row for each of them, written; and the length of an exact chain."""
     keys, exact = chain_keys("fp", bits, segments)
     rows = classes.select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.start").alias("start"), F.col("k.key").alias("key"))
     sized = rows.groupBy("start", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(sized, ["start", "key"])
-    few = met.where(F.col("n") <= crowd)
+    return cut(rows.join(sized, ["start", "key"]), "met"), exact
+
+
+def links(classes: DataFrame, bits: int = 2, segments: int = 8, crowd: int = 64) -> DataFrame:
+    """a, b: fingerprints that link, from distinct ones in ``fp``, a written table. Every link is there, or implied by others."""
+    if not bits:
+        return cut(classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0), "links")
+    met, exact = meetings(classes, bits, segments)
+    few, many = met.where(F.col("n") <= crowd), met.where(F.col("n") > crowd)
     pairs = few.alias("p").join(few.alias("q"), (F.col("p.start") == F.col("q.start")) & (F.col("p.key") == F.col("q.key")) & (F.col("p.fp") < F.col("q.fp")))
     pairs = pairs.select(F.col("p.start").alias("start"), F.col("p.fp").alias("a"), F.col("q.fp").alias("b"), F.col("p.fp").bitwiseXOR(F.col("q.fp")).alias("x"))
-    pairs = pairs.where(ring_passes("start", "x", bits, segments, exact)).select("a", "b")
-    return pairs.union(crowded_links(met.where(F.col("n") > crowd).select("fp").distinct(), bits))
+    found = cut(pairs.where(ring_passes("start", "x", bits, segments, exact)).select("a", "b"), "links")
+    if not many.isEmpty():
+        paired, found = found, cut(found.union(crowded_links(many.select("fp").distinct(), bits)), "links")
+        drop_cut(paired)
+    drop_cut(met)
+    return found
 
 
 def crowded_links(classes: DataFrame, bits: int) -> DataFrame:
@@ -145,6 +154,7 @@ def grouped(docs: DataFrame, words: int = 3, bits: int = 2, segments: int | None
     edges = links(classes.select("fp"), bits, segments or segments_for(classes.count(), bits, crowd), crowd)
     # components are found over fingerprints, then named by the smallest id in them
     rooted = components(edges)
+    drop_cut(edges)
     named = cut(classes.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
     drop_cut(rooted)
     return prints, named
