@@ -9,9 +9,12 @@ LENGTH + SPREAD + 2 = 51 words or more always holds a whole piece. Pieces are co
 1. Each paragraph gets an exact hash, a block keys of MinHash values over its five-word shingles as well: ``BANDS`` of ``ROWS``. At a
    Jaccard of 0.8 one of its 8 bands of 3 meets with a probability of 0.995.
 2. Keys that occur once fall away. Equal paragraphs are one class; pairs are made between distinct classes of a key.
-   A key with more than ``CROWD`` classes makes no pairs: its classes meet on ``FINE_BANDS`` keys of ``FINE_ROWS`` further MinHash
-   values; where more than CROWD share even one of these, each is compared with ``PIVOTS`` of them.
-3. The exact Jaccard of the shingle sets verifies each pair of classes.
+   A key with more than ``CROWD`` classes makes no pairs. Its classes go to an exact join instead, which finds every link among all of
+   them: two sets of a Jaccard of t have a common shingle among the rarest of each (``prefixes``); sizes, the first
+   common place and a sketch of all shingles bound what they can share (``can_link``).
+3. The exact Jaccard of the shingle sets verifies each pair of classes. Where more than CROWD classes share one of those rarest shingles,
+   each is compared with ``PIVOTS`` of them first; then all that are not of one component yet are compared with each other (``left_open``).
+   So no link is lost, or it is implied by others.
 4. Components over the links gather the paragraphs of one passage; the first one (by document, then place) is kept.
    Overlapping paragraphs of a document are merged into spans.
 
@@ -37,13 +40,14 @@ from .common import arrow_stage, cut, drop_cut, table
 from .components import components
 
 LENGTH, SPREAD, SHINGLE = 40, 9, 5
-BANDS, ROWS, CROWD = 8, 3, 32
-FINE_BANDS, FINE_ROWS, PIVOTS = 12, 5, 4
+BANDS, ROWS, CROWD, PIVOTS = 8, 3, 32, 32
+#: Longs of a sketch.
+SKETCH = 16
 #: Words of the passages that the query removes.
 PASSAGE = 50
 #: Paragraphs that a task remembers; beyond, it begins anew, which costs rows but loses none.
 REMEMBERED = 500_000
-ODD, FINE_ODD = np.split(np.random.default_rng(8).integers(0, 2**63, BANDS * ROWS + FINE_BANDS * FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), [BANDS * ROWS])
+ODD = np.random.default_rng(8).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x5851F42D4C957F2D
 HOT = 1000
 
@@ -202,13 +206,19 @@ def paragraphs(docs: DataFrame, least_words: int = SHINGLE) -> DataFrame:
     return arrow_stage(docs, each, "key long, exact long, doc_id long, at int, words int, extra boolean")
 
 
+def sketch_of(part: np.ndarray) -> list[int]:
+    """The parity of the distinct shingles of each of 64 * SKETCH kinds: two sets differ in as many shingles as their sketches in bits, or more."""
+    kind = mixed(np.unique(part.view(np.uint64))) % np.uint64(64 * SKETCH)
+    return np.packbits(np.bincount(kind.astype(np.int64), minlength=64 * SKETCH) % 2 == 1).view(np.int64).tolist()
+
+
 def shingles_at(docs: DataFrame) -> DataFrame:
-    """exact, shingles, fine (keys, for the crowded ones) of the paragraphs at ``places`` (array of struct<at, words, exact, crowded>)
-    of each text. Of several texts with one id only that is read which has the paragraph."""
+    """exact, shingles, sketch (of the crowded ones) of the paragraphs at ``places`` (array of struct<at, words, exact, crowded>) of each text. Of several texts with one id only that is
+    read which has the paragraph."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact, found, fine = [], [], []
+            exact, found, sketch = [], [], []
             for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with np.errstate(over="ignore"):
                     h = word_hashes([text])[0]
@@ -216,13 +226,13 @@ def shingles_at(docs: DataFrame) -> DataFrame:
                     for p in places:
                         if exact_hash(h[p["at"] : p["at"] + p["words"]]) != p["exact"] % 2**64:
                             continue
-                        part = s[p["at"] : p["at"] + p["words"] - SHINGLE + 1]
                         exact.append(p["exact"])
+                        part = s[p["at"] : p["at"] + p["words"] - SHINGLE + 1]
                         found.append(part.tolist())
-                        fine.append(banded([(part.view(np.uint64) * odd).min(keepdims=True) for odd in FINE_ODD], FINE_ROWS, 200)[:, 0].tolist() if p["crowded"] else None)
-            yield pa.record_batch([pa.array(exact, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(fine, pa.list_(pa.int64()))], ["exact", "shingles", "fine"])
+                        sketch.append(sketch_of(part) if p["crowded"] else None)
+            yield pa.record_batch([pa.array(exact, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["exact", "shingles", "sketch"])
 
-    return arrow_stage(docs.select("text", "places"), each, "exact long, shingles array<long>, fine array<long>", rows=128)
+    return arrow_stage(docs.select("text", "places"), each, "exact long, shingles array<long>, sketch array<long>", rows=128)
 
 
 def pairs_of(classes: DataFrame) -> DataFrame:
@@ -231,14 +241,53 @@ def pairs_of(classes: DataFrame) -> DataFrame:
     return p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.exact") < F.col("q.exact"))).select(F.col("p.exact").alias("a"), F.col("q.exact").alias("b"))
 
 
-def crowded_pairs(crowded: DataFrame) -> DataFrame:
-    """a, b: classes that share a finer key; where these are still many, each with PIVOTS of them."""
-    rows = crowded.where("fine IS NOT NULL").select("exact", F.explode("fine").alias("key"))
-    sized = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    many = sized.where(F.col("n") > CROWD)
-    pivots = many.groupBy("key", F.pmod("exact", F.lit(PIVOTS)).alias("part")).agg(F.min("exact").alias("pivot"))
-    stars = many.join(pivots, "key").where("exact <> pivot").select(F.least("exact", "pivot").alias("a"), F.greatest("exact", "pivot").alias("b"))
-    return pairs_of(sized.where(F.col("n") <= CROWD)).union(stars)
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """key, exact, size, at, sketch, n: the shingles that a set has to share one of with any set of that Jaccard, the rarest of its own, those
+    alone in theirs left out; ``at``: the place among its shingles, rarest first; ``n``: how many sets have the key here."""
+    rows = sets.select("exact", F.size(F.array_distinct("shingles")).alias("size"), F.explode(F.array_distinct("shingles")).alias("key"))
+    shared = rows.join(rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "key")
+    own = shared.groupBy("exact", "size").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("own"))
+    rarest = own.withColumn("alone", F.expr("size - size(own)"))
+    rarest = rarest.withColumn("own", F.expr(f"slice(own, 1, greatest(0, int(size - ceil({similarity} * size - 1e-6) + 1 - alone)))"))
+    rarest = rarest.join(sets.select("exact", "sketch"), "exact")
+    keys = rarest.select("exact", "size", "sketch", "alone", F.posexplode("own").alias("k", "own")).select(F.col("own.key").alias("key"), "exact", "size", F.expr("alone + k + 1").alias("at"), "sketch")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def can_link(similarity: float) -> F.Column:
+    """Can p and q, whose first common shingle is at these places, share as many as the Jaccard asks for, and differ in as few? A pair
+    that links passes at the first shingle that both have."""
+    apart = " + ".join(f"bit_count(p.sketch[{k}] ^ q.sketch[{k}])" for k in range(SKETCH))
+    shared = f"least(p.size - p.at, q.size - q.at) + 1 >= {similarity / (1 + similarity)} * (p.size + q.size) - 1e-6"
+    return F.expr(f"{shared} AND {apart} <= {(1 - similarity) / (1 + similarity)} * (p.size + q.size) + 1e-6")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("p.exact", "q.exact").alias("a"), F.greatest("p.exact", "q.exact").alias("b"))
+
+
+def first_pairs(keys: DataFrame, similarity: float) -> DataFrame:
+    """a, b: the pairs of each key; of a key that many classes share, each with PIVOTS of them."""
+    few, many = keys.where(F.col("n") <= CROWD).drop("n"), keys.where(F.col("n") > CROWD).drop("n")
+    pairs = few.alias("p").join(few.alias("q"), F.expr("p.key = q.key AND p.exact < q.exact") & can_link(similarity))
+    pivots = many.groupBy("key", F.pmod("exact", F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct("exact", "size", "at", "sketch")).alias("pivot")).select("key", "pivot.*")
+    stars = many.alias("p").join(pivots.alias("q"), F.expr("p.key = q.key AND p.exact <> q.exact") & can_link(similarity))
+    return ordered(pairs).union(ordered(stars))
+
+
+def left_open(keys: DataFrame, rooted: DataFrame) -> DataFrame:
+    """key, exact, size, at, sketch, root, top: the rows of the keys that many classes share and that are not of one component; ``top``: a key's
+    largest component. Written."""
+    many = keys.where(F.col("n") > CROWD).join(rooted, F.col("exact") == F.col("node"), "left").select("key", "exact", "size", "at", "sketch", F.coalesce("root", "exact").alias("root"))
+    parts = many.groupBy("key", "root").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top.root")
+    return cut(many.join(tops.withColumnRenamed("root", "top"), "key"), "open")
+
+
+def other_pairs(open_rows: DataFrame, similarity: float) -> DataFrame:
+    """a, b: all pairs of classes of a key that are of two components; those of the largest are met by the others only."""
+    p, q = open_rows.where("root <> top").alias("p"), open_rows.alias("q")
+    return ordered(p.join(q, F.expr("p.key = q.key AND p.root <> q.root AND (q.root = q.top OR p.exact < q.exact)") & can_link(similarity)))
 
 
 def repeated(docs: DataFrame, similarity: float = 0.8, least_words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,13 +313,23 @@ def repeated(docs: DataFrame, similarity: float = 0.8, least_words: int = SHINGL
     distinct = shingled.dropDuplicates(["exact"])
     left = distinct.select(F.col("exact").alias("a"), F.col("shingles").alias("sa"))
     right = distinct.select(F.col("exact").alias("b"), F.col("shingles").alias("sb"))
-    pairs = pairs.union(crowded_pairs(distinct)).distinct()
-    linked = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
-    rooted = components(linked)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(left, "a").join(right, "b").where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
+
+    keys = cut(prefixes(distinct.where("sketch IS NOT NULL"), similarity), "prefixes")
+    rooted = components(linked(pairs.union(first_pairs(keys, similarity))))
+    if not keys.where(F.col("n") > CROWD).isEmpty():
+        rest = left_open(keys, rooted)
+        if not rest.isEmpty():
+            before = rooted
+            rooted = components(linked(other_pairs(rest, similarity)).union(before.select("node", "root")))
+            drop_cut(before)
+        drop_cut(rest)
     members = met.select("exact", "doc_id", "at", "words").distinct()
     named = members.join(rooted, F.col("exact") == F.col("node"), "left").select("doc_id", "at", "words", F.coalesce("root", "exact").alias("passage_id"))
     named = cut(named, "named")
-    for done in (met, varied, shingled, rooted):
+    for done in (met, varied, shingled, keys, rooted):
         drop_cut(done)
     about = named.groupBy("passage_id").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id <> last").drop("last")
     # passages with a thousandth of the rows or more, so a thousand at most, are broadcast; the others are joined by a shuffle

@@ -580,6 +580,24 @@ def test_crowded_near_copies_of_a_block_are_one_passage(spark):
     assert {x.doc_id for x in got} == set(range(150)) and len({x.passage_id for x in got}) == 1
 
 
+def test_near_copies_within_a_crowd_of_unlike_blocks(spark):
+    """Pairs of near copies (100 of 120 shingles in common) that all share 96 shingles: unlike ones (96 of 124) make no link."""
+    common = prose(100, 9300)
+    texts = [f"{common} {prose(4, 9400 + i // 2)} {prose(10, 9600 + i)}" for i in range(400)]
+    of = {x.doc_id: x.passage_id for x in substring.repeated(docs_of(spark, texts)).collect() if x.words == 114}
+    assert [i for i in range(200) if 2 * i not in of or of[2 * i] != of.get(2 * i + 1)] == []
+    assert len(set(of.values())) == 200
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(6)
+    for n in (1, 20, 300, 5000):
+        a, b = (r.integers(0, 2 * n, n) for _ in range(2))
+        bits = sum(((x ^ y) % 2**64).bit_count() for x, y in zip(substring.sketch_of(a), substring.sketch_of(b)))
+        apart = len({*a.tolist()} ^ {*b.tolist()})
+        assert apart // 8 * (n < 1000) <= bits <= apart
+
+
 # ---- 1: secrets ----------------------------------------------------------------------------------------------------
 
 
