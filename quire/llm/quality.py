@@ -179,7 +179,7 @@ def fit(rows: DataFrame, levels: int = 3, rounds: int = 50, lasso: float = 1e-4)
 
         names = [f"v{k}" for k in range(3)]
         total: list[np.ndarray] = []
-        for got in arrow_stage(rows, task, ", ".join(f"{n} binary" for n in names), rows=PART).collect():  # PARTS rows or so
+        for got in arrow_stage(rows.coalesce(PARTS), task, ", ".join(f"{n} binary" for n in names), rows=PART).collect():  # PARTS rows at most, however the table's files lie
             vectors = [np.frombuffer(x, "<f8") for x in got]
             total = [a + b for a, b in zip(total, vectors)] if total else vectors
         return total

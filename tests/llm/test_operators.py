@@ -350,6 +350,20 @@ def test_gradient_of_the_likelihood():
     assert np.allclose(expected, [1, 2, 0]) and np.allclose(tail[1:], [1, 0])
 
 
+def test_steps_send_as_many_parts_however_the_labelled_rows_lie(spark):
+    rows = common.cut(spark.createDataFrame([([i % 3, 3 + i % 5], i % 3) for i in range(300)], "features array<int>, grade int").repartition(60), "many")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    spark.sparkContext.setJobGroup("steps", "steps")
+    try:
+        quality.fit(rows, rounds=3)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(k).numTasks for j in tracker.getJobIdsForGroup("steps") for k in tracker.getJobInfo(j).stageIds]
+    assert len(tasks) > 2 and max(tasks) <= quality.PARTS
+
+
 # ---- 6: decontamination --------------------------------------------------------------------------------------------
 
 
