@@ -170,7 +170,7 @@ def numbered_docs(docs: DataFrame, vocab: dict[str, int], least: float) -> DataF
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         seen, n = np.zeros(len(vocab) + 1, np.int64), 0
-        held = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("seen", pa.list_(pa.int64()))])
+        held = pa.schema([("doc_id", pa.int64()), ("terms", pa.binary()), ("seen", pa.list_(pa.int64()))])
         for batch in batches:
             ids, kept = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -183,12 +183,10 @@ def numbered_docs(docs: DataFrame, vocab: dict[str, int], least: float) -> DataF
                     kept.append(t)
             n += batch.num_rows
             if ids:
-                ends = np.cumsum([0, *map(len, kept)])
-                terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept).astype(np.int32)))
-                yield pa.record_batch([pa.array(ids, pa.int64()), terms, pa.nulls(len(ids), held.field(2).type)], schema=held)
+                yield pa.record_batch([pa.array(ids, pa.int64()), packed(kept), pa.nulls(len(ids), held.field(2).type)], schema=held)
         yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, held.field(1).type), pa.array([[n, *seen[:-1].tolist()]], held.field(2).type)], schema=held)
 
-    return cut(arrow_stage(docs, each, "doc_id long, terms array<int>, seen array<long>", rows=256), "terms")
+    return cut(arrow_stage(docs, each, "doc_id long, terms binary, seen array<long>", rows=256), "terms")
 
 
 def frequencies(held: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -199,11 +197,14 @@ def frequencies(held: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int
     return out[1:], int(out[0])
 
 
+def packed(rows: list[np.ndarray]) -> pa.Array:
+    """Rows of numbers as 32-bit ones in bytes: Spark reads, copies and writes such a value as a whole, an array number by number."""
+    return pa.array([x.astype("<i4").tobytes() for x in rows], pa.binary())
+
+
 def term_arrays(column: pa.Array) -> list[np.ndarray]:
-    """The rows of a column of lists."""
-    ends = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    """The rows that ``packed`` has written."""
+    return [np.frombuffer(x.as_buffer(), "<i4") for x in column]
 
 
 def near_places(held: DataFrame, items: Items, df: np.ndarray, loose: float) -> DataFrame:
@@ -217,9 +218,9 @@ def near_places(held: DataFrame, items: Items, df: np.ndarray, loose: float) ->
             some = np.flatnonzero([len(x) for x in starts])
             if len(some):
                 kept = batch.take(pa.array(some))
-                yield pa.record_batch([kept.column(0), kept.column(1), pa.array([starts[i] for i in some], pa.list_(pa.int32()))], ["doc_id", "terms", "starts"])
+                yield pa.record_batch([kept.column(0), kept.column(1), packed([starts[i] for i in some])], ["doc_id", "terms", "starts"])
 
-    return cut(arrow_stage(held, each, "doc_id long, terms array<int>, starts array<int>", rows=256), "near")
+    return cut(arrow_stage(held, each, "doc_id long, terms binary, starts binary", rows=256), "near")
 
 
 def latent(near: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -229,7 +230,7 @@ def latent(near: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK) ->
     rank = min(rank, terms)
     basis = rng.standard_normal((terms, rank))
     spark, own = near.sparkSession, items.matrix()
-    n = near.agg(F.sum(F.size("starts"))).first()[0] or 0
+    n = (near.agg(F.sum(F.octet_length("starts"))).first()[0] or 0) // 4
 
     def product(matrices: Iterator[np.ndarray], g: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """A'(A g), with A's rows the weighted words of each passage."""

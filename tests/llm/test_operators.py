@@ -438,6 +438,15 @@ def test_leaks_with_inserted_words(spark):
     assert len(want) > 80 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
 
 
+def test_terms_are_written_as_whole_values(spark):
+    text = prose(20, 3)
+    vocab = decontaminate.Items([(1, text)]).vocab
+    held = decontaminate.numbered_docs(docs_of(spark, ["other " + text, None, ""]).select("doc_id", "text"), vocab, 0.1).where("terms IS NOT NULL").select("terms")
+    assert dict(held.dtypes)["terms"] == "binary"
+    want = [-1, *(vocab[w] for w in text.split())]
+    assert [x.tolist() for x in decontaminate.term_arrays(held.toArrow()["terms"].combine_chunks())] == [want]
+
+
 def test_density_is_a_bound():
     items = decontaminate.Items([(i, prose(n, i)) for i, n in enumerate((8, 16, 24, 39))])
     least, r = decontaminate.density(items, 0.6), random.Random(2)
