@@ -251,6 +251,16 @@ def test_base_spans_equal_the_patterns(spark):
         assert got[i] == base_of(t), t
 
 
+def test_counts_and_hash_equal_the_contract(spark, tmp_path):
+    texts = [None, "", "none", "a.b@c.de _d@e.f x@y.z", "1.2.3.4 or 256.1.1.1, 5.6.7.8", "4111 1111 1111 1111", "+1 (212) 555-0100; a.b@c.de; 1.2.3.4; 4111-1111-1111-1111, +49 30 1234 5678", "+1 (212) 555-0100"]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: tuple(x)[1:6] for x in pii.op10_boosted_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = base_of(t or "")
+        listed = ",".join(f"{CONTRACT[k][0]}:{s}:{e}" for s, k, e in want)
+        assert got[i] == (*[sum(k == kind for _, k, _ in want) for kind in range(4)], hashlib.sha256(listed.encode()).hexdigest()), t
+
+
 def test_trees_and_redaction(spark, odd, empty):
     trees, cuts, accuracy = pii.model(spark)
     assert accuracy > 0.97 and cuts
