@@ -5,28 +5,18 @@ Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which al
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import shared_dir
+from ..operators.storage import cut, shared_dir  # noqa: F401  cut is for the operators
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages survive a lost executor
-    without recomputing what lies before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a table that ``cut`` has written and that nothing reads any more."""
     spark = df.sparkSession

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import change_kind, plain, smoothed, without, word_count
+from ..functions.text import change_kind, smoothed
+from ..operators.storage import cut
 from ..registry import query
 from ..sources.tables import READINGS_SQL, capitals, lines, readings, table
 
@@ -119,35 +120,37 @@ def language_by_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Features of each version of a line, for the arbiter."""
+    """Features of each version of a line, for the arbiter. Characters and words are counted where they stand: no text is made anew."""
     n = F.length("reading")
+    count = lambda p: F.regexp_count("reading", F.lit(p)).cast("double")
+    of = lambda ch: (n - F.length(F.replace("reading", F.lit(ch), F.lit("")))).cast("double")
     return rows.select(
         "source", "doc_id", "line", "reader", (F.col("reading") == F.col("text")).cast("double").alias("label"),
-        F.length("reading").cast("double").alias("f_length"), word_count("reading").cast("double").alias("f_words"),
-        F.try_divide(F.length(F.regexp_replace("reading", "[^A-Z]", "")), F.length("reading")).alias("f_upper"),
-        F.length(F.regexp_replace("reading", "[^,]", "")).cast("double").alias("f_commas"), F.length(F.regexp_replace("reading", "[^.]", "")).cast("double").alias("f_stops"),
-        F.length(F.regexp_replace("reading", "[^e]", "")).cast("double").alias("f_e"), F.when(n > 0, F.length(plain(without("reading", " "))) / n).otherwise(0.0).alias("f_dense"),
+        n.cast("double").alias("f_length"), count(r"\S+").alias("f_words"), F.try_divide(count("[A-Z]"), n).alias("f_upper"), of(",").alias("f_commas"), of(".").alias("f_stops"),
+        of("e").alias("f_e"), F.when(n > 0, (n - count("[ \u0300-\u036f]")) / n).otherwise(0.0).alias("f_dense"),
     ).na.fill(0.0)
 
 
 @query()
 def arbiter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees over versions, trained on other books, normalised within a line and calibrated by logistic regression on log-odds.
-    Books are dealt into three folds, and each is scored by a model that the second has trained and the third calibrated."""
+    Books are dealt into three folds, and each is scored by a model that the second has trained and the third calibrated. Features are
+    written once, not made again for each pass of the training, and equal versions are one training row with their number as its weight."""
     rows = features(read(spark, sf_dir))
     names = [x for x in rows.columns if x.startswith("f_")]
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    fold = F.pmod(F.xxhash64("source"), F.lit(3))
+    rows = cut(rows.withColumn("fold", F.pmod(F.xxhash64("source"), F.lit(3))).drop("source"), "versions")
+    alike = cut(rows.groupBy("fold", "label", *names).agg(F.count("*").cast("double").alias("n")), "alike")
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform
     p = vector_to_array("probability")[1]
     odds = F.log(F.greatest(F.col("p"), F.lit(1e-6)) / F.greatest(1 - F.col("p"), F.lit(1e-6)))
     w = Window.partitionBy("doc_id", "line")
     out = None
     for k in range(3):
-        model = GBTClassifier(maxDepth=3, maxIter=8, seed=1).fit(ready.where(fold == (k + 1) % 3))
-        held = model.transform(ready.where(fold == (k + 2) % 3)).withColumn("p", p).drop("features", "probability", "rawPrediction", "prediction")
-        curve = LogisticRegression(featuresCol="odds_v").fit(VectorAssembler(inputCols=["odds"], outputCol="odds_v").transform(held.withColumn("odds", odds)))
+        model = GBTClassifier(maxDepth=3, maxIter=8, seed=1, weightCol="n").fit(ready(alike.where(F.col("fold") == (k + 1) % 3)))
+        held = model.transform(ready(alike.where(F.col("fold") == (k + 2) % 3))).withColumn("p", p).groupBy("p", "label").agg(F.sum("n").alias("n"))
+        curve = LogisticRegression(featuresCol="odds_v", weightCol="n").fit(VectorAssembler(inputCols=["odds"], outputCol="odds_v").transform(held.withColumn("odds", odds)))
         calibrated = 1 / (1 + F.exp(-(float(curve.coefficients[0]) * odds + float(curve.intercept))))
-        scored = model.transform(ready.where(fold == k)).withColumn("p", p)
+        scored = model.transform(ready(rows.where(F.col("fold") == k))).withColumn("p", p)
         scored = scored.select("doc_id", "line", "reader", "label", calibrated.alias("chance"), (F.col("p") / F.greatest(F.sum("p").over(w), F.lit(1e-9))).alias("share"))
         out = scored if out is None else out.union(scored)
     return out
