@@ -110,13 +110,13 @@ def version_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, lex_lang AS guess, known FROM r WHERE nth = 1"""
 )
 def language_by_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language whose word list covers most of a page. Word lists are joined by word, not broadcast: they grow with the corpus."""
+    """The language whose word list covers most of a page. Word lists are counted and written first: what Spark finds small enough
+    goes to the pages, so no page's words are shuffled; else pages and lists meet by word. A page's counts are all that is left to send."""
     w = table(spark, sf_dir, "documents").select("lang", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("word"))
-    w = w.groupBy("lang", "doc_id", "word").agg(F.count("*").alias("k"))
-    lex = w.groupBy(F.col("lang").alias("lex_lang"), "word").agg(F.sum("k").alias("n")).where("n >= 20")
-    known = w.join(lex, "word").groupBy("doc_id", "lex_lang").agg(F.sum("k").alias("known"))
-    best = known.groupBy("doc_id").agg(F.max("known").alias("known")).join(known, ["doc_id", "known"]).groupBy("doc_id", "known").agg(F.min("lex_lang").alias("guess"))
-    return best.select("doc_id", "guess", "known")
+    lex = cut(w.groupBy(F.col("lang").alias("lex_lang"), "word").agg(F.count("*").alias("n")).where("n >= 20").drop("n"), "lexicon")
+    known = w.drop("lang").join(lex, "word").groupBy("doc_id", "lex_lang").agg(F.count("*").alias("known"))
+    best = known.groupBy("doc_id").agg(F.min_by(F.struct("lex_lang", "known"), F.struct(-F.col("known"), F.col("lex_lang").isNull(), "lex_lang")).alias("b"))
+    return best.select("doc_id", F.col("b.lex_lang").alias("guess"), F.col("b.known").alias("known"))
 
 
 def features(rows: DataFrame) -> DataFrame:
