@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import bare_words, smoothed, words
+from ..operators.storage import cut
 from ..registry import query
 from ..sources.tables import LINES_SQL, READINGS_SQL, lines, readings, table
 
@@ -138,12 +139,13 @@ def words_lost_and_gained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued: a word of five books is known, of one book strange, between them unsure; a page with a strange word is
     not vouched for, one with an unsure word is left open."""
-    w = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(bare_words("text")).alias("word")).groupBy("source", "doc_id", "word").agg(F.count("*").alias("k"))
-    lex = w.select("word", "source").distinct().groupBy("word").agg(F.count("*").alias("books"))
-    known = F.when(F.col("books") >= 5, True).when(F.col("books") >= 2, F.lit(None)).otherwise(False)
-    v = w.join(lex, "word").withColumn("known", known)
-    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
-    g = v.groupBy("doc_id").agg(n(F.col("known")).alias("n_known"), n(~F.col("known")).alias("n_strange"), n(F.col("known").isNull()).alias("n_unsure"))
+    w = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(bare_words("text")).alias("word"))
+    # written first, and without the words of one book: what is not in the list is strange. Small enough a list goes to the pages
+    books = w.where("source IS NOT NULL").select("word", "source").distinct().groupBy("word").agg(F.count("*").alias("books"))
+    lex = cut(books.where("books >= 2").select("word", (F.col("books") >= 5).alias("known")), "books")
+    v = w.select("doc_id", "word").join(lex, "word", "left")
+    n = F.count_if
+    g = v.groupBy("doc_id").agg(n(F.col("known")).alias("n_known"), n(F.col("known").isNull()).alias("n_strange"), n(~F.col("known")).alias("n_unsure"))
     return g.withColumn("verdict", F.when(F.col("n_strange") > 0, False).when(F.col("n_unsure") > 0, F.lit(None)).otherwise(True))
 
 

@@ -26,3 +26,9 @@ def test_arbiter_features_equal_plain_counts(spark):
         share = lambda k: k / len(t) if t else 0.0
         assert (r.f_length, r.f_words, r.f_commas, r.f_stops, r.f_e) == (len(t), len(re.findall(r"\S+", t)), t.count(","), t.count("."), t.count("e"))
         assert (r.f_upper, r.f_dense) == (share(len(re.findall("[A-Z]", t))), share(len(re.sub("[ ̀-ͯ]", "", t))))
+
+
+def test_words_of_pages_are_not_shuffled(spark):
+    """Word lists are written first and go to the pages; only counts of pages are sent."""
+    for name in ("language_by_lexicon", "lexicon_verdicts"):
+        assert "hashpartitioning(word" not in plan(QUERIES[name](spark, SMALL)), name
