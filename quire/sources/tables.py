@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READERS = ("layer", "glm", "tess")
 BLOCK_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "blockquote", "figcaption"}
+#: Pages that a worker takes apart at a time; Spark's batches are up to 10,000 rows or 64 MB.
+PAGES = 64
 APPARATUS = {"nav", "footer", "header", "script", "style", "aside"}
 
 
@@ -97,20 +99,23 @@ class Blocks(HTMLParser):
 
 
 def html_blocks(pages: DataFrame, drop_tags: set[str] = APPARATUS, drop_classes: set[str] = frozenset({"ad"})) -> DataFrame:
-    """page_id, block, tag, text of each block of each page, apparatus left out."""
+    """page_id, block, tag, text of each block of each page, apparatus left out. A worker holds the blocks of ``PAGES`` pages at a time."""
+    form = pa.schema([("page_id", pa.int64()), ("block", pa.int64()), ("tag", pa.string()), ("text", pa.string())])
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for page, html in zip(batch["page_id"], batch["html"]):
-                parser = Blocks(set(drop_tags), set(drop_classes))
-                parser.feed(html or "")
-                parser.close()
-                parser.flush()
-                rows += [(page, i, tag, text) for i, (tag, text) in enumerate(parser.out)]
-            yield pd.DataFrame(rows, columns=["page_id", "block", "tag", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(each, "page_id long, block long, tag string, text string")
+            for k in range(0, batch.num_rows, PAGES):
+                rows = []
+                part = batch.slice(k, PAGES)
+                for page, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    parser = Blocks(set(drop_tags), set(drop_classes))
+                    parser.feed(html or "")
+                    parser.close()
+                    parser.flush()
+                    rows += [(page, i, tag, text) for i, (tag, text) in enumerate(parser.out)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(form)], schema=form)
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(each, "page_id long, block long, tag string, text string")
 
 
 def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
