@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,23 +155,13 @@ def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled_numbers(rows: DataFrame, by: str) -> DataFrame:
     """by, n, read, settled: a number that does not follow the last *settled* one by one is kept only if the next one
-    follows it; else it is read as the expected. Recursive on its own output, so a fold in order; each group is a run of
-    headings, carried as an array."""
-    runs = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", "read"))).alias("run"))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, run in zip(batch[by], batch["run"]):
-                last = None
-                for i, x in enumerate(run):
-                    read = x["read"]
-                    good = last is None or read == last + 1 or (i + 1 < len(run) and run[i + 1]["read"] == read + 1)
-                    last = read if good else last + 1
-                    out.append((key, x["n"], read, last))
-            yield pd.DataFrame(out, columns=[by, "n", "read", "settled"])
-
-    return runs.mapInPandas(each, f"{by} long, n long, read long, settled long")
+    follows it; else it is read as the expected. One that follows is the expected either way, so the last number that the
+    next one follows (or the first of all) says what is expected from there on: one sort, and no run is carried whole."""
+    w = Window.partitionBy(by).orderBy("n", "read")
+    at = F.row_number().over(w)
+    held = (F.col("_at") == 1) | (F.lead("read").over(w) == F.col("read") + 1)
+    start = F.last(F.when(held, F.col("read") - F.col("_at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(by, "n", "read").withColumn("_at", at).withColumn("settled", start + F.col("_at")).select(by, *[F.col(c).cast("long").alias(c) for c in ("n", "read", "settled")])
 
 
 @query()

@@ -32,3 +32,47 @@ def test_words_of_pages_are_not_shuffled(spark):
     """Word lists are written first and go to the pages; only counts of pages are sent."""
     for name in ("language_by_lexicon", "lexicon_verdicts"):
         assert "hashpartitioning(word" not in plan(QUERIES[name](spark, SMALL)), name
+
+
+def test_html_blocks_hold_few_pages_at_a_time(spark, monkeypatch):
+    """A worker gives out the blocks of 64 pages at a time, whatever comes in."""
+    import pyarrow as pa
+
+    from quire.sources import tables
+
+    seen = {}
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, each, _):
+            seen["each"] = each
+
+    tables.html_blocks(Pages())
+    page = "<nav>x</nav><h1>a  b</h1><p>c</p>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "html": [page] * 999 + [None]})
+    out = list(seen["each"](iter([batch])))
+    assert max(b.num_rows for b in out) <= 2 * 64
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, *x) for i in range(999) for x in ((0, "h1", "a b"), (1, "p", "c"))]
+
+
+def test_settled_numbers_equal_a_fold_in_order(spark):
+    import random
+
+    from quire.plans.sequences import settled_numbers
+
+    r = random.Random(4)
+    runs = {key: [r.choice((i, i, i + 1, i + 3, 7, -2)) for i in range(r.randint(1, 30))] for key in (None, *range(200))}
+    rows = spark.createDataFrame([(key, n, x) for key, run in runs.items() for n, x in enumerate(run)], "k long, n long, read long")
+    want = []
+    for key, run in runs.items():
+        last = None
+        for i, x in enumerate(run):
+            good = last is None or x == last + 1 or (i + 1 < len(run) and run[i + 1] == x + 1)
+            last = x if good else last + 1
+            want.append((key, i, x, last))
+    out = settled_numbers(rows, "k")
+    order = lambda t: (t[0] is None, *map(str, t))
+    assert sorted(map(tuple, out.collect()), key=order) == sorted(want, key=order)
+    assert "InPandas" not in plan(out) and "collect_list" not in plan(out)
