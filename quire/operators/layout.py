@@ -42,7 +42,8 @@ def words_in_lines(words: DataFrame, lines: DataFrame, page: list[str], word: st
     top, foot = F.col("y0") - SLACK_Y, F.col("y1") + SLACK_Y
     ln = lines.select(*page, "line", "x0", "x1", top.alias("_top"), foot.alias("_foot"), cy.alias("_mid"), F.explode(F.sequence(band(top), band(foot))).alias("_band"))
     held = w.join(ln, [*page, "_band"]).where(F.col("cx").between(F.col("x0") - SLACK_X, F.col("x1") + SLACK_X) & F.col("cy").between(F.col("_top"), F.col("_foot")))
-    return held.groupBy(*page, word).agg(F.min_by("line", F.struct(F.abs(F.col("_mid") - F.col("cy")), "line")).alias("line"))
+    # a word (its page and name) has one place and so one band: the band as a key changes nothing, and the join's rows are not sent again
+    return held.groupBy(*page, "_band", word).agg(F.min_by("line", F.struct(F.abs(F.col("_mid") - F.col("cy")), "line")).alias("line")).drop("_band")
 
 
 def margin_skew(lines: DataFrame, page: list[str], slack: float = 3.0, least: int = 4) -> DataFrame:
