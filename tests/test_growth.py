@@ -76,3 +76,37 @@ def test_settled_numbers_equal_a_fold_in_order(spark):
     order = lambda t: (t[0] is None, *map(str, t))
     assert sorted(map(tuple, out.collect()), key=order) == sorted(want, key=order)
     assert "InPandas" not in plan(out) and "collect_list" not in plan(out)
+
+
+def exchanges(df):
+    df.collect()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)", plan(df).split("Initial Plan")[0])
+
+
+def test_words_by_line_sends_words_once(spark):
+    assert not [x for x in exchanges(QUERIES["words_by_line"](spark, SMALL)) if re.search(r"doc_id#\d+L?, word#", x)]
+
+
+def test_benchmark_alignment_sends_no_page(spark):
+    """Neither all shingles nor the words of pages are sent, only the ids of the pages that met."""
+    df = QUERIES["benchmark_alignment"](spark, SMALL)
+    assert [x.count(",") for x in exchanges(df) if "doc_id" in x] == [1]
+
+
+def test_readings_are_grouped_where_their_page_lies(spark):
+    for name in ("suspect_votes", "version_union"):
+        assert len(exchanges(QUERIES[name](spark, SMALL))) == 1, name
+
+
+def test_suspect_votes_of_a_page_given_twice(spark, tmp_path):
+    """Votes of equal pages add up, and ties go by the readers' names as in the SQL."""
+    import duckdb
+
+    from quire.registry import ORACLE_SQL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    docs.union(docs).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["suspect_votes"](spark, str(tmp_path)).select("doc_id", "line", "chosen", "votes", "readers", "versions").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["suspect_votes"]).fetchall())
