@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.text import change_kind, smoothed
 from ..operators.storage import cut
 from ..registry import query
-from ..sources.tables import READINGS_SQL, capitals, lines, readings, table
+from ..sources.tables import READERS, READINGS_SQL, capitals, lines, readings, table
 
 MIN_BOOKS = 2
 #: Characters that count as quotation marks, and accents taken off, for DuckDB.
@@ -26,6 +26,12 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(lines(table(spark, sf_dir, "documents")))
 
 
+def read_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, a page's in one task: its text is sent once, not each reading of its lines, and what is grouped by
+    page and line is grouped where it lies, a partition of texts at a time."""
+    return readings(lines(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").repartition("doc_id")))
+
+
 @query(
     f"""WITH {READINGS_SQL}, v AS (SELECT doc_id, line, reading, count(*) AS votes, string_agg(reader, ',' ORDER BY reader) AS readers FROM readings GROUP BY doc_id, line, reading),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY votes DESC, readers) AS nth, count(*) OVER (PARTITION BY doc_id, line) AS versions FROM v)
@@ -33,9 +39,11 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suspect_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which readers differ, with the version most of them read."""
-    v = read(spark, sf_dir).groupBy("doc_id", "line", "reading").agg(F.count("*").alias("votes"), F.array_join(F.array_sort(F.collect_list("reader")), ",").alias("readers"))
-    best = F.max_by(F.struct("reading", "votes", "readers"), F.struct("votes", F.expr("-ascii(readers)"), F.expr("-length(readers)")))
-    # ties between versions go to the reader first in the alphabet; readers differ by their first letter
+    # each reader's votes are a number: no list is kept, and names are put together in order of the alphabet
+    each = [F.count_if(F.col("reader") == r).cast("int").alias(r) for r in sorted(READERS)]
+    names = F.array_join(F.flatten(F.array(*[F.array_repeat(F.lit(r), F.col(r)) for r in sorted(READERS)])), ",")
+    v = read_by_page(spark, sf_dir).groupBy("doc_id", "line", "reading").agg(F.count("*").alias("votes"), *each).select("doc_id", "line", "reading", "votes", names.alias("readers"))
+    best = F.min_by(F.struct("reading", "votes", "readers"), F.struct(-F.col("votes"), "readers"))
     g = v.groupBy("doc_id", "line").agg(best.alias("b"), F.count("*").alias("versions")).where("versions > 1")
     return g.select("doc_id", "line", F.col("b.reading").alias("chosen"), F.col("b.votes").alias("votes"), F.col("b.readers").alias("readers"), "versions")
 
