@@ -107,7 +107,7 @@ def question_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct versions of a line under a fold; the first reader's spelling of each stays."""
     fold = F.regexp_replace(F.lower("reading"), "[^a-z]", "")
-    rows = read(spark, sf_dir).where("reading <> ''").withColumn("fold", fold)
+    rows = read_by_page(spark, sf_dir).where("reading <> ''").withColumn("fold", fold)
     first = rows.groupBy("doc_id", "line", "fold").agg(F.min_by(F.struct("reader", "reading"), "reader").alias("v"))
     return first.select("doc_id", "line", "v.reader", "v.reading")
 
